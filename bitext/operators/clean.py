@@ -74,11 +74,14 @@ def orient_direction(df: DataFrame, direction: str, columns: Mapping[str, str],
     return orient(df, columns[a], columns[b], keep)
 
 
-def both_directions(df: DataFrame, a: str, b: str, keep: Iterable[str] = ()) -> DataFrame:
-    """Bidirectional corpus: union of both orientations with a ``direction`` column."""
+def both_directions(df: DataFrame, a: str, b: str, keep: Iterable[str] = (),
+                    names: tuple[str, str] | None = None) -> DataFrame:
+    """Bidirectional corpus: union of both orientations with a ``direction``
+    column (``names`` = labels of a→b and b→a; default ``a2b``/``b2a``)."""
     keep = list(keep)
-    fwd = orient(df, a, b, keep).withColumn("direction", F.lit(f"{a}2{b}"))
-    bwd = orient(df, b, a, keep).withColumn("direction", F.lit(f"{b}2{a}"))
+    n_ab, n_ba = names or (f"{a}2{b}", f"{b}2{a}")
+    fwd = orient(df, a, b, keep).withColumn("direction", F.lit(n_ab))
+    bwd = orient(df, b, a, keep).withColumn("direction", F.lit(n_ba))
     return fwd.unionByName(bwd)
 
 

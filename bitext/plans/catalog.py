@@ -1,3 +1,3 @@
 """Import every plan module so that all queries are registered."""
 
-from . import generate  # noqa: F401
+from . import corpus, generate  # noqa: F401
