@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ids import ids_to_text, unmask_labels
+from ..functions.ids import ids_to_text, mask_out_of_vocab, unmask_labels
 from ..operators import vocab as V
 from ..operators.pairs import clean_pairs, turn_pairs
 from ..operators.runs import batch_number
@@ -190,3 +190,26 @@ def q_prepare_corpus(spark: SparkSession, data_dir: str) -> DataFrame:
     enc = V.encode_pairs(split, "pair_id", "src", "tgt", vocab, MAX_LEN, padding=True)
     return enc.join(split.select("pair_id", "split"), "pair_id").select(
         "pair_id", "split", ids_to_text("input_ids").alias("input_ids"), ids_to_text("labels").alias("labels"))
+
+
+@query("mask_out_of_vocab", sql=f"""
+WITH {S.turn_pairs_cte()},
+{_PAIR_VOCAB_SQL},
+vsize AS (SELECT count(*) AS v FROM vocab),
+vocab3 AS (SELECT * FROM vocab UNION ALL SELECT '{TGT_LANG}', CAST((SELECT max(id) + 1 FROM vocab) AS INTEGER), 0),
+{_encoded_pairs_sql(MAX_LEN, False, None, f"SELECT id FROM vocab3 WHERE token = '{TGT_LANG}'").replace(' vocab v ON', ' vocab3 v ON')}
+SELECT pair_id, {S.ids_text("list_transform(list_resize(labels, " + str(MAX_LEN) + ", 0), lambda x: CASE WHEN x = 0 OR x >= v THEN -100 ELSE x END)")} AS labels
+FROM encoded JOIN vsize ON TRUE
+""")
+def q_mask_out_of_vocab(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Evaluation-time label masking: padding and ids at or above the base
+    vocabulary size (the added language token) become -100."""
+    pairs = pairs_of(spark, data_dir)
+    base = V.fit_vocab(pairs, ["src", "tgt"], PAIR_VOCAB).cache()
+    vocab_size = base.count()
+    vocab = V.add_lang_token(base, TGT_LANG)
+    lang_id = vocab.where(F.col("token") == TGT_LANG).first()["id"]
+    t = V.encode(pairs, "pair_id", "tgt", vocab, "labels", MAX_LEN, prefix_id=lang_id)
+    from ..functions.ids import pad_fixed
+    t = t.withColumn("labels", mask_out_of_vocab(pad_fixed("labels", MAX_LEN, V.PAD_ID), V.PAD_ID, vocab_size))
+    return t.select("pair_id", ids_to_text("labels").alias("labels"))

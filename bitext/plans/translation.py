@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WS_CLASS
-from ..functions.vectors import cosine, l2_normalise
 from ..operators import metrics as M
 from ..operators.lexicon import BAND, fit_lexicon
 from ..operators.pairs import clean_pairs, turn_chains, turn_pairs
-from ..operators.similarity import token_cosine
+from ..operators.similarity import dense_cosine, token_cosine
 from ..operators.split import SEED, TEST_SIZE, split_exact
 from ..operators.synth import THRESHOLD, augment, compose_pivot, gate_blank, gate_stats
 from ..operators.translate import map_batched, translate
@@ -133,8 +132,8 @@ def q_dense_cosine(spark: SparkSession, data_dir: str) -> DataFrame:
     e = load_table(spark, data_dir, "embeddings")
     a = e.select("vec_id", F.col("embedding").alias("a"))
     b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
-    j = a.join(b, "vec_id")
-    return j.select("vec_id", F.round(cosine(l2_normalise("a"), l2_normalise("b")), 6).alias("similarity"))
+    j = dense_cosine(a.join(b, "vec_id"), "a", "b", "similarity")
+    return j.select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 _THS = [round(0.1 * k, 1) for k in range(1, 10)]
@@ -158,7 +157,7 @@ def q_gate_stats(spark: SparkSession, data_dir: str) -> DataFrame:
     e = load_table(spark, data_dir, "embeddings")
     a = e.select("vec_id", "label", F.col("embedding").alias("a"))
     b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
-    sims = a.join(b, "vec_id").select("label", cosine(l2_normalise("a"), l2_normalise("b")).alias("similarity"))
+    sims = dense_cosine(a.join(b, "vec_id"), "a", "b", "similarity").select("label", "similarity")
     st = gate_stats(sims, ["label"], _THS)
     return st.select("label", "threshold", "accepted", "rejected",
                      F.round("acceptance_rate", 6).alias("acceptance_rate"),
@@ -238,6 +237,13 @@ def _reverse_words():
     return f
 
 
+def _length_embedder():
+    """Toy sentence encoder plug-in: (number of words, number of characters)."""
+    def f(s):
+        return [[len(x.split()), len(x)] for x in s]
+    return f
+
+
 @query("plugin_map", sql=f"""
 WITH {S.turn_pairs_cte()}
 SELECT pair_id, array_to_string(list_reverse(string_split(src, ' ')), ' ') AS translation,
@@ -248,13 +254,12 @@ FROM pairs
 def q_plugin_map(spark: SparkSession, data_dir: str) -> DataFrame:
     """Caller plug-ins: a batched translator (reverse the words) and a
     row-wise length embedder, both run in Arrow batches."""
-    from pyspark.sql import types as T
-    from ..operators.translate import map_rows
+    from ..operators.similarity import embed
     pairs = pairs_of(spark, data_dir)
     out = translate(pairs.select("pair_id", "src"), "src", _reverse_words, "translation", batch_size=128)
-    vec = map_rows(lambda s: [len(s.split()), len(s)], T.ArrayType(T.LongType()))
-    out = out.withColumn("_v", vec(F.col("src")))
-    return out.select("pair_id", "translation", F.col("_v")[0].alias("n_words"), F.col("_v")[1].alias("n_chars"))
+    out = embed(out, "src", _length_embedder, "_v", batch_size=128)
+    return out.select("pair_id", "translation", F.col("_v")[0].cast("long").alias("n_words"),
+                      F.col("_v")[1].cast("long").alias("n_chars"))
 
 
 @query("bulk_translate", sql=f"""

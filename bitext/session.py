@@ -55,3 +55,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="bitext-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
+
+
+def materialize(df, tag: str = "table"):
+    """Write ``df`` as parquet under the shared checkpoint folder and read it
+    back: cuts lineage (an executor loss recomputes nothing upstream), the
+    plan runs once, and the re-read has exact size statistics for AQE."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
