@@ -13,6 +13,7 @@ from ..operators.similarity import dense_cosine, token_cosine
 from ..operators.split import SEED, TEST_SIZE, split_exact
 from ..operators.synth import THRESHOLD, augment, compose_pivot, gate_blank, gate_stats
 from ..operators.translate import map_batched, translate
+from ..session import materialize
 from ..sources.tables import load_table
 from . import sqlparts as S
 from .encoding import pairs_of
@@ -81,12 +82,12 @@ scored AS (SELECT r.pair_id AS doc_id, r.lang, r.text, r.synthetic, s.similarity
 
 def round_trip_docs(spark: SparkSession, data_dir: str) -> DataFrame:
     """Documents → forward translation → back translation → token cosine of
-    original and back translation → ``(doc_id, lang, text, synthetic, similarity)``.
-    The forward output is read twice (output, back-translation input); it is a
-    deterministic JVM plan, so Spark may recompute it but never diverges."""
+    original and back translation → ``(doc_id, lang, text, synthetic, similarity)``."""
     fwd, bwd = lexicons(spark, data_dir)
     docs = load_table(spark, data_dir, "documents").select("doc_id", "lang", "text")
-    synth = translate(docs, "text", fwd, "synthetic", key="doc_id")
+    # the forward output is read twice (result, back-translation input):
+    # written once so the forward translation runs once
+    synth = materialize(translate(docs, "text", fwd, "synthetic", key="doc_id"), "rt-forward")
     back = translate(synth.select("doc_id", "synthetic"), "synthetic", bwd, "back", key="doc_id")
     sims = token_cosine(docs.join(back, "doc_id"), "doc_id", "text", "back")
     return synth.join(sims, "doc_id")
@@ -222,7 +223,7 @@ def q_pivot_round_trip(spark: SparkSession, data_dir: str) -> DataFrame:
     bwd = fit_lexicon(tl_rin, "pair_id", "tgt", "src", EM_ITERS, BAND)
     en_tl = clean_pairs(turn_pairs(conv)).select(F.col("src").alias("en"), F.col("tgt").alias("tl"))
     tl = en_tl.select("tl").distinct().withColumn("tl_key", F.md5("tl"))
-    syn = translate(tl, "tl", fwd, "rin", key="tl_key")
+    syn = materialize(translate(tl, "tl", fwd, "rin", key="tl_key"), "prt-forward")
     back = translate(syn.select("tl_key", "rin"), "rin", bwd, "back", key="tl_key")
     sims = token_cosine(syn.join(back, "tl_key"), "tl_key", "tl", "back")
     scored = gate_blank(syn.join(sims, "tl_key"), "rin", "similarity", THRESHOLD)

@@ -62,3 +62,13 @@ def test_top_k_tie_breaks_by_token(spark):
     lex = spark.createDataFrame([("x", "b", 0.5), ("x", "a", 0.5)], "src_token string, tgt_token string, p double")
     assert top_k(lex, 1).select("tgt_token").first()[0] == "a"
     assert top_k(lex, 5).where(F.col("rank") == 2).first()["tgt_token"] == "b"
+
+
+def test_best_translation_equals_top1(spark):
+    from bitext.operators.lexicon import best_translation
+    rows = [("x", "b", 0.5), ("x", "a", 0.5), ("y", "c", 0.2), ("y", "d", 0.8), ("z", "e", 1 / 3),
+            ("z", "f", 1 / 3 + 1e-15), ("z", "g", 1 / 3 - 1e-15)]
+    lex = spark.createDataFrame(rows, "src_token string, tgt_token string, p double")
+    a = sorted(map(tuple, best_translation(lex).collect()))
+    b = sorted(map(tuple, top_k(lex, 1).select("src_token", "tgt_token").collect()))
+    assert a == b == [("x", "a"), ("y", "d"), ("z", "e")]
