@@ -11,6 +11,7 @@ from ..operators.pairs import clean_pairs, turn_pairs
 from ..operators.runs import batch_number
 from ..operators.split import SEED, TEST_SIZE, split_exact
 from ..sources.contracts import require_columns
+from ..session import materialize
 from ..sources.tables import load_table
 from . import sqlparts as S
 from .registry import query
@@ -70,7 +71,7 @@ FROM encoded
 def q_encode_pairs(spark: SparkSession, data_dir: str) -> DataFrame:
     """Marian-style encoding: 64 ids per side with </s>, padded, labels masked."""
     pairs = pairs_of(spark, data_dir)
-    vocab = V.fit_vocab(pairs, ["src", "tgt"], PAIR_VOCAB)
+    vocab = materialize(V.fit_vocab(pairs, ["src", "tgt"], PAIR_VOCAB), "vocab")
     enc = V.encode_pairs(pairs, "pair_id", "src", "tgt", vocab, MAX_LEN, padding=True)
     return enc.select("pair_id", ids_to_text("input_ids").alias("input_ids"),
                       ids_to_text("attention_mask").alias("attention_mask"),
@@ -88,7 +89,7 @@ FROM encoded
 def q_encode_ragged(spark: SparkSession, data_dir: str) -> DataFrame:
     """Whole-text encoding without a length limit (ragged arrays)."""
     pairs = pairs_of(spark, data_dir)
-    vocab = V.fit_vocab(pairs, ["src", "tgt"], PAIR_VOCAB)
+    vocab = materialize(V.fit_vocab(pairs, ["src", "tgt"], PAIR_VOCAB), "vocab")
     enc = V.encode_pairs(pairs, "pair_id", "src", "tgt", vocab, None, padding=False)
     return enc.select("pair_id", ids_to_text("input_ids").alias("input_ids"),
                       ids_to_text("labels").alias("labels"),
@@ -110,7 +111,7 @@ def q_pad_batch(spark: SparkSession, data_dir: str) -> DataFrame:
     """Dynamic padding: batches of 16 pairs in key order, each padded to its
     own longest row (labels with -100)."""
     pairs = pairs_of(spark, data_dir)
-    vocab = V.fit_vocab(pairs, ["src", "tgt"], PAIR_VOCAB)
+    vocab = materialize(V.fit_vocab(pairs, ["src", "tgt"], PAIR_VOCAB), "vocab")
     enc = V.encode_pairs(pairs, "pair_id", "src", "tgt", vocab, None, padding=False)
     batched = batch_number(enc, [], ["pair_id"], BATCH)
     padded = V.pad_batch(batched, "batch_id", "input_ids", V.PAD_ID, "labels")
@@ -138,7 +139,7 @@ def q_lang_token(spark: SparkSession, data_dir: str) -> DataFrame:
     the first id of each side (source and forced target language)."""
     pairs = pairs_of(spark, data_dir)
     vocab = V.add_lang_token(V.add_lang_token(V.fit_vocab(pairs, ["src", "tgt"], PAIR_VOCAB), SRC_LANG), TGT_LANG)
-    vocab = vocab.cache()
+    vocab = materialize(vocab, "vocab")
     ids = {r["token"]: r["id"] for r in vocab.where(F.col("token").isin(SRC_LANG, TGT_LANG)).collect()}
     max_id = vocab.agg(F.max("id")).first()[0]
     s = V.encode(pairs, "pair_id", "src", vocab, "input_ids", MAX_LEN, prefix_id=ids[SRC_LANG])
@@ -161,7 +162,7 @@ def q_decode_identity(spark: SparkSession, data_dir: str) -> DataFrame:
     """Masked labels → unmask (-100 → pad) → decode with special ids skipped:
     the in-vocabulary tokens of the (truncated) target come back."""
     pairs = pairs_of(spark, data_dir)
-    vocab = V.fit_vocab(pairs, ["src", "tgt"], PAIR_VOCAB)
+    vocab = materialize(V.fit_vocab(pairs, ["src", "tgt"], PAIR_VOCAB), "vocab")
     enc = V.encode_pairs(pairs, "pair_id", "src", "tgt", vocab, MAX_LEN, padding=True)
     unmasked = enc.select("pair_id", unmask_labels("labels", V.PAD_ID).alias("labels"))
     return V.decode(unmasked, "pair_id", "labels", vocab, "text")
@@ -186,7 +187,8 @@ def q_prepare_corpus(spark: SparkSession, data_dir: str) -> DataFrame:
                            ["conv_id", "turn", "role", "text"])
     pairs = clean_pairs(turn_pairs(conv)).select("pair_id", "src", "tgt")
     split = split_exact(pairs, "pair_id", TEST_SIZE, SEED)
-    vocab = V.fit_vocab(split.where(F.col("split") == "train"), ["src", "tgt"], PAIR_VOCAB)
+    split = materialize(split, "split")
+    vocab = materialize(V.fit_vocab(split.where(F.col("split") == "train"), ["src", "tgt"], PAIR_VOCAB), "vocab")
     enc = V.encode_pairs(split, "pair_id", "src", "tgt", vocab, MAX_LEN, padding=True)
     return enc.join(split.select("pair_id", "split"), "pair_id").select(
         "pair_id", "split", ids_to_text("input_ids").alias("input_ids"), ids_to_text("labels").alias("labels"))
@@ -205,9 +207,9 @@ def q_mask_out_of_vocab(spark: SparkSession, data_dir: str) -> DataFrame:
     """Evaluation-time label masking: padding and ids at or above the base
     vocabulary size (the added language token) become -100."""
     pairs = pairs_of(spark, data_dir)
-    base = V.fit_vocab(pairs, ["src", "tgt"], PAIR_VOCAB).cache()
+    base = materialize(V.fit_vocab(pairs, ["src", "tgt"], PAIR_VOCAB), "vocab")
     vocab_size = base.count()
-    vocab = V.add_lang_token(base, TGT_LANG)
+    vocab = materialize(V.add_lang_token(base, TGT_LANG), "vocab-lang")
     lang_id = vocab.where(F.col("token") == TGT_LANG).first()["id"]
     t = V.encode(pairs, "pair_id", "tgt", vocab, "labels", MAX_LEN, prefix_id=lang_id)
     from ..functions.ids import pad_fixed
