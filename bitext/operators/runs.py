@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.naming import run_name
-from .ordering import row_number_by
+from .ordering import row_number_by, running_by, running_many
 
 
 def batch_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], batch_size: int,
@@ -30,15 +30,14 @@ def running_progress(log: DataFrame, job: str, ts: str, rows: str | None = None,
     """Per log row: ``done`` (rows finished so far in the job), ``elapsed_s``
     since the job's first row, ``rows_per_s`` (null at 0 s) and ``eta_s``.
 
-    ``rows`` (default 1 per record) is summed in (ts, order) order; the job
-    total defaults to the job's sum.
+    ``rows`` (default 1 per record) is summed in (ts, order) order with the
+    skew-safe ``running_by``; the job start and total are a ``groupBy``.
     """
     order_cols = [ts] + ([order] if order else [])
     r = F.col(rows) if rows else F.lit(1)
     base = log.withColumn("_r", r.cast("long"))
-    w = Window.partitionBy(job).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     firsts = base.groupBy(job).agg(F.min(ts).alias("_t0"), F.sum("_r").alias("_tot"))
-    out = base.join(firsts, job, "inner").withColumn("done", F.sum("_r").over(w))
+    out = running_by(base, [job], order_cols, "_r", "sum", "done").join(firsts, job, "inner")
     secs = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_t0").cast("timestamp"))) / 1e6
     tot = F.col(total) if total else F.col("_tot")
     speed = F.when(F.col("elapsed_s") > 0, F.col("done") / F.col("elapsed_s"))
@@ -63,15 +62,19 @@ def early_stop(log: DataFrame, run: str, step: str, metric: str, patience: int)
 
     Improvement flag from the running max of the previous rows; the running
     count of improvements numbers the stretches; inside a stretch the stale
-    count is the offset from its first row.
+    count is the offset from its first row.  All three are skew-safe running
+    aggregates (``running_by``), so a run with a huge log is spread over
+    many tasks.
     """
-    w = Window.partitionBy(run).orderBy(step)
-    prev_best = F.max(metric).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = log.select(run, step, metric).withColumn(
-        "_imp", F.when(prev_best.isNull() | (F.col(metric) > prev_best), 1).otherwise(0))
-    flagged = flagged.withColumn("_grp", F.sum("_imp").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    staled = flagged.withColumn(
-        "_stale", F.row_number().over(Window.partitionBy(run, "_grp").orderBy(step)) - 1)
+    base = log.select(run, step, metric)
+    # pass 1: row number and best of the previous rows
+    p1 = running_many(base, [run], [step], [(F.lit(1).cast("long"), "sum", "_rn", False),
+                                            (metric, "max", "_prev", True)])
+    imp = F.col("_prev").isNull() | (F.col(metric) > F.col("_prev"))
+    # pass 2: row number of the latest improvement; stale = rows since it
+    p2 = running_many(p1.withColumn("_imp_rn", F.when(imp, F.col("_rn"))), [run], [step],
+                      [("_imp_rn", "max", "_last", False)])
+    staled = p2.withColumn("_stale", F.col("_rn") - F.col("_last"))
     stops = staled.where(F.col("_stale") == patience).groupBy(run).agg(F.min(step).alias("stop_step"))
     best = best_checkpoint(log, run, step, metric)
     n = log.groupBy(run).agg(F.count(F.lit(1)).alias("n_evals"))

@@ -131,3 +131,17 @@ def test_pivot_dedupe_and_augment(spark):
     assert sorted((r["origin"], r["id"]) for r in aug.collect()) == [("real", 1), ("synthetic", 2), ("synthetic", 4)]
     top1 = augment(real, syn, id_col="id", n_synthetic=1)
     assert sorted(r["id"] for r in top1.collect()) == [1, 4]
+
+
+def test_running_by_sum_and_max(spark):
+    from bitext.operators.ordering import running_by
+    rows = [(k, i, float((i * 7919) % 13)) for k in ("hot", "cold") for i in range(200 if k == "hot" else 7)]
+    df = spark.createDataFrame(rows, "k string, i long, v double")
+    s = running_by(df, ["k"], ["i"], "v", "sum", "s", num_partitions=6)
+    m = running_by(df, ["k"], ["i"], "v", "max", "m", exclusive=True, num_partitions=6)
+    ws = Window.partitionBy("k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    wm = Window.partitionBy("k").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.withColumn("s", F.sum("v").over(ws)).withColumn("m", F.max("v").over(wm))
+    got = s.join(m.select("k", "i", "m"), ["k", "i"])
+    assert sorted(map(tuple, got.select("k", "i", "s", "m").collect())) == \
+        sorted(map(tuple, want.select("k", "i", "s", "m").collect()))

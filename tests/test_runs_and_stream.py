@@ -62,3 +62,24 @@ def test_incremental_translate_restartable(spark, tmp_path):
     assert sum(p["numInputRows"] for p in prog) == 1
     got = sorted((r["id"], r["tl"]) for r in spark.read.parquet(out).collect())
     assert got == [(1, "kumusta world"), (2, "world kumusta")]
+
+
+def test_early_stop_after_shuffle(spark):
+    # input arriving from a shuffle (no fixed row order) must give the same result
+    import random
+    rnd = random.Random(7)
+    rows = [(r, s, float(rnd.randint(0, 30))) for r in range(20) for s in range(0, 3000, 10)]
+    df = spark.createDataFrame(rows, "run long, step long, bleu double").repartition(5, "step")
+    got = dict((r["run"], r["stop_step"]) for r in R.early_stop(df, "run", "step", "bleu", 4).collect())
+    want = {}
+    for run in range(20):
+        best, stale, stop = None, 0, None
+        for _, s, v in sorted(x for x in rows if x[0] == run):
+            if best is None or v > best:
+                best, stale = v, 0
+            else:
+                stale += 1
+                if stale == 4 and stop is None:
+                    stop = s
+        want[run] = stop
+    assert got == want
