@@ -47,16 +47,11 @@ def zip_rows(left: DataFrame, right: DataFrame, row_id: str = "row_id") -> DataF
 
 
 def with_row_id(df: DataFrame, order_cols, row_id: str = "row_id") -> DataFrame:
-    """Stable 0-based row id following ``order_cols`` (a total order).
-
-    Uses ``zipWithIndex`` on the sorted RDD: a range-partitioned sort and one
-    count per partition, not a single-task window.
-    """
-    sorted_df = df.orderBy(*order_cols)
-    schema = sorted_df.schema
-    rdd = sorted_df.rdd.zipWithIndex().map(lambda t: (*t[0], t[1]))
-    from pyspark.sql import types as T
-    return rdd.toDF(T.StructType(schema.fields + [T.StructField(row_id, T.LongType(), False)]))
+    """Stable 0-based row id following ``order_cols`` (a total order): a
+    range-partitioned numbering with per-partition offsets, not a single-task
+    window or an RDD."""
+    from .ordering import row_number_by
+    return row_number_by(df, [], list(order_cols), "_rn").withColumn(row_id, F.col("_rn") - 1).drop("_rn")
 
 
 def table_from_columns(df: DataFrame, columns: dict) -> DataFrame:

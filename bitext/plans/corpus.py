@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.text import PANDAS_NA, strip
 from ..operators import clean as C
 from ..operators.ordering import row_number_by
-from ..operators.pairs import TURN_BASE, clean_pairs, turn_pairs, zip_rows
+from ..operators.pairs import TURN_BASE, clean_pairs, turn_pairs, with_row_id, zip_rows
 from ..operators.split import SEED, TEST_SIZE, split_exact, split_hash
 from ..session import checkpoint_dir
 from ..sources.contracts import require_columns
@@ -89,8 +89,7 @@ FROM documents
 def q_zip_rows(spark: SparkSession, data_dir: str) -> DataFrame:
     """Two projections of one table re-paired on an explicit row id."""
     docs = load_table(spark, data_dir, "documents")
-    numbered = row_number_by(docs.select("doc_id", "lang", "n_chars"), [], ["doc_id"], "rn")
-    numbered = numbered.withColumn("row_id", F.col("rn") - 1).drop("rn")
+    numbered = with_row_id(docs.select("doc_id", "lang", "n_chars"), ["doc_id"], "row_id")
     left = numbered.select("row_id", "doc_id", "lang")
     right = numbered.select("row_id", "n_chars")
     return zip_rows(left, right, "row_id").select("row_id", "doc_id", "lang", "n_chars")

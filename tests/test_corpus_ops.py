@@ -145,3 +145,19 @@ def test_running_by_sum_and_max(spark):
     got = s.join(m.select("k", "i", "m"), ["k", "i"])
     assert sorted(map(tuple, got.select("k", "i", "s", "m").collect())) == \
         sorted(map(tuple, want.select("k", "i", "s", "m").collect()))
+
+
+def test_token_cosine_hashing_variant(spark):
+    from bitext.operators.similarity import token_cosine
+    df = spark.createDataFrame([(1, "a b b c", "b c c d"), (2, "x y", "z"), (3, "", "q")],
+                               "id long, a string, b string")
+    exact = dict(map(tuple, token_cosine(df, "id", "a", "b").collect()))
+    hashed = dict(map(tuple, token_cosine(df, "id", "a", "b", hash_bits=24).collect()))
+    assert math.isclose(exact[1], (2 * 1 + 1 * 2) / math.sqrt(6 * 6)) and exact[2] == 0.0 and exact[3] == 0.0
+    assert all(math.isclose(exact[k], hashed[k]) for k in exact)
+
+
+def test_with_row_id(spark):
+    from bitext.operators.pairs import with_row_id
+    df = spark.createDataFrame([(i * 3 % 17,) for i in range(17)], "v long")
+    assert sorted(map(tuple, with_row_id(df, ["v"]).select("v", "row_id").collect())) == [(i, i) for i in range(17)]
