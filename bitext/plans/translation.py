@@ -263,17 +263,28 @@ def q_plugin_map(spark: SparkSession, data_dir: str) -> DataFrame:
                       F.col("_v")[1].cast("long").alias("n_chars"))
 
 
-@query("bulk_translate", sql=f"""
-WITH {S.turn_pairs_cte()},
+_BULK_BODY = f"""{S.turn_pairs_cte()},
 {_FWD_SQL},
 {S.best_cte('best', _FWD)},
 {S.doc_lines_cte()},
-{S.translate_cte('tr', 'lines', 'line_id', 'line', 'best')}
+{S.translate_cte('tr', 'lines', 'line_id', 'line', 'best')}"""
+
+# Parquet output keeps an empty translation as ''.
+BULK_PARQUET_SQL = f"""
+WITH {_BULK_BODY}
 SELECT l.line_id, l.line AS en, t.translation AS tl FROM lines l JOIN tr t ON t.line_id = l.line_id
+"""
+
+
+@query("bulk_translate", sql=f"""
+WITH {_BULK_BODY}
+SELECT l.line_id, nullif(l.line, '') AS en, nullif(t.translation, '') AS tl
+FROM lines l JOIN tr t ON t.line_id = l.line_id
 """)
 def q_bulk_translate(spark: SparkSession, data_dir: str) -> DataFrame:
     """Every document line translated (no filter), written as TSV (en, tl)
-    with quoting, read back."""
+    with quoting, read back.  As in the reference's pandas round trip, an
+    empty translation (a line without word tokens) reads back as missing."""
     from ..sources.csv import scan_csv, sink_tsv
     from .corpus import doc_lines, scratch_path
     pairs = pairs_of(spark, data_dir)
