@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.pairs import clean_pairs, turn_pairs
 from ..operators.synth import THRESHOLD, gate_blank
-from ..operators.similarity import token_cosine
+from ..operators.similarity import with_token_cosine
 from ..sources.tables import load_table
 from . import sqlparts as S
 from .registry import query
@@ -16,8 +16,7 @@ from .registry import query
 def scored_pairs(spark: SparkSession, data_dir: str) -> DataFrame:
     """Cleaned conversation pairs with the token cosine of source and target."""
     pairs = clean_pairs(turn_pairs(load_table(spark, data_dir, "conversations")))
-    sims = token_cosine(pairs, "pair_id", "src", "tgt")
-    return pairs.join(sims, "pair_id", "inner")
+    return with_token_cosine(pairs, "pair_id", "src", "tgt")
 
 
 @query("round_trip_gate", sql=f"""

@@ -9,7 +9,7 @@ from ..functions.text import WS_CLASS
 from ..operators import metrics as M
 from ..operators.lexicon import BAND, fit_lexicon
 from ..operators.pairs import clean_pairs, turn_chains, turn_pairs
-from ..operators.similarity import dense_cosine, token_cosine
+from ..operators.similarity import dense_cosine, token_cosine, with_token_cosine
 from ..operators.split import SEED, TEST_SIZE, split_exact
 from ..operators.synth import THRESHOLD, augment, compose_pivot, gate_blank, gate_stats
 from ..operators.translate import map_batched, translate
@@ -89,7 +89,7 @@ def round_trip_docs(spark: SparkSession, data_dir: str) -> DataFrame:
     # written once so the forward translation runs once
     synth = materialize(translate(docs, "text", fwd, "synthetic", key="doc_id"), "rt-forward")
     back = translate(synth.select("doc_id", "synthetic"), "synthetic", bwd, "back", key="doc_id")
-    sims = token_cosine(docs.join(back, "doc_id"), "doc_id", "text", "back")
+    sims = with_token_cosine(docs.join(back, "doc_id"), "doc_id", "text", "back").select("doc_id", "similarity")
     return synth.join(sims, "doc_id")
 
 
