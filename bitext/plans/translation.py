@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WS_CLASS
 from ..operators import metrics as M
-from ..operators.lexicon import BAND, fit_lexicon
+from ..operators.lexicon import BAND, fit_lexicon, fit_lexicons
 from ..operators.pairs import clean_pairs, turn_chains, turn_pairs
 from ..operators.similarity import dense_cosine, token_cosine, with_token_cosine
 from ..operators.split import SEED, TEST_SIZE, split_exact
@@ -24,10 +24,7 @@ EM_ITERS = 2
 
 def lexicons(spark: SparkSession, data_dir: str, iterations: int = EM_ITERS):
     """Forward (user→assistant) and backward lexicons from the conversation pairs."""
-    pairs = pairs_of(spark, data_dir)
-    fwd = fit_lexicon(pairs, "pair_id", "src", "tgt", iterations, BAND)
-    bwd = fit_lexicon(pairs, "pair_id", "tgt", "src", iterations, BAND)
-    return fwd, bwd
+    return fit_lexicons(pairs_of(spark, data_dir), "pair_id", "src", "tgt", iterations, BAND)
 
 
 def _em(prefix, src, tgt, iters=EM_ITERS):
@@ -219,8 +216,7 @@ def q_pivot_round_trip(spark: SparkSession, data_dir: str) -> DataFrame:
     similarity is taken on the pivot text; then composed to (en, tl, rin)."""
     conv = load_table(spark, data_dir, "conversations")
     tl_rin = clean_pairs(turn_pairs(conv, "assistant", "user"))
-    fwd = fit_lexicon(tl_rin, "pair_id", "src", "tgt", EM_ITERS, BAND)
-    bwd = fit_lexicon(tl_rin, "pair_id", "tgt", "src", EM_ITERS, BAND)
+    fwd, bwd = fit_lexicons(tl_rin, "pair_id", "src", "tgt", EM_ITERS, BAND)
     en_tl = clean_pairs(turn_pairs(conv)).select(F.col("src").alias("en"), F.col("tgt").alias("tl"))
     tl = en_tl.select("tl").distinct().withColumn("tl_key", F.md5("tl"))
     syn = materialize(translate(tl, "tl", fwd, "rin", key="tl_key"), "prt-forward")

@@ -72,3 +72,15 @@ def test_best_translation_equals_top1(spark):
     a = sorted(map(tuple, best_translation(lex).collect()))
     b = sorted(map(tuple, top_k(lex, 1).select("src_token", "tgt_token").collect()))
     assert a == b == [("x", "a"), ("y", "d"), ("z", "e")]
+
+
+def test_fit_lexicons_both_directions(spark):
+    from bitext.operators.lexicon import fit_lexicons
+    df = spark.createDataFrame(TINY, "k long, s string, t string")
+    fwd, bwd = fit_lexicons(df, "k", "s", "t", 2, 16)
+    a = {(r[0], r[1]): r[2] for r in fwd.collect()}
+    b = {(r[0], r[1]): r[2] for r in bwd.collect()}
+    want_a = R.ibm1([(s, t) for _, s, t in TINY], 2, 16)
+    want_b = R.ibm1([(t, s) for _, s, t in TINY], 2, 16)
+    assert a.keys() == want_a.keys() and b.keys() == want_b.keys()
+    assert all(math.isclose(a[k], want_a[k]) for k in a) and all(math.isclose(b[k], want_b[k]) for k in b)
