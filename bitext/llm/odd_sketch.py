@@ -9,8 +9,10 @@ propose candidates, the bitmaps thin them, and full sets decide.
 Work stays linear where copies pile up: equal sets collapse to one class
 before banding; a bucket's members are first compared with the bucket's leader
 only; members that this leaves in other components are then compared with the
-rest of their buckets, in blocks, and only pairs that the bitmaps let through
-are written.  No bucket is capped.  A pair with the wanted similarity s shares
+rest of their buckets, in blocks.  For these, a second bitmap folds the whole
+set: its XOR has at most as many bits as the sets differ in, so it drops a pair
+only if the similarity is surely too low, and what it lets through is seldom
+dropped later.  Only such pairs are written.  No bucket is capped.  A pair with the wanted similarity s shares
 no band with probability (1 - s**rows)**bands: 3e-6 at s = 0.8 as configured.
 
 Cases: null or wordless texts have an empty set and link with nothing; rows
@@ -35,6 +37,8 @@ from .registry import query, table
 
 BANDS, ROWS = 32, 5
 SKETCH_BITS = 512
+#: Bits of the parity bitmap over a whole set.
+WHOLE_BITS = 2048
 #: How far below the wanted similarity the bitmap's estimate may lie.
 SKETCH_SLACK = 0.13
 #: Rows of a bucket's largest component that one task compares with the rest.
@@ -94,7 +98,7 @@ def _signer(words: int, bands: int, rows: int, bits: int):
                 has.append(has[-1] + 1)
                 m = _minima(s, a, b)
                 flips = tk.mix64(index | m) % np.uint64(bits)
-                odd.append(np.packbits(np.bincount(flips.astype(np.int64), minlength=bits) & 1 > 0).view(np.int64))
+                odd.append(_parity(flips, bits).view(np.int64))
                 key = band
                 for r in range(rows):
                     key = tk.mix64(key + np.uint64(0x9E3779B97F4A7C15)) ^ m[r::rows]
@@ -112,14 +116,22 @@ def _signer(words: int, bands: int, rows: int, bits: int):
     return run
 
 
+def _parity(positions: np.ndarray, bits: int) -> np.ndarray:
+    return np.packbits(np.bincount(positions.astype(np.int64), minlength=bits) & 1 > 0)
+
+
 def _set_rows(words: int):
-    """(node, text) -> (node, its sorted set), where the text has that node's set."""
+    """(node, text) -> (node, its sorted set, the set's parity bitmap), where
+    the text has that node's set."""
     def run(batches):
         for batch in batches:
-            node, out = batch.column(0).to_pylist(), []
+            node, out, whole = batch.column(0).to_pylist(), [], []
             for n, s in zip(node, _sets(batch.column(1), words)):
-                out.append(s.tobytes() if len(s) and _set_hash(s)[0] == n else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "set"])
+                ok = len(s) and _set_hash(s)[0] == n
+                out.append(s.tobytes() if ok else None)
+                whole.append(_parity(tk.mix64(s) % np.uint64(WHOLE_BITS), WHOLE_BITS).tobytes() if ok else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(whole, pa.binary())],
+                                             names=["node", "set", "whole"])
     return run
 
 
@@ -146,6 +158,7 @@ def _rest(most_bits: int, num: int, den: int):
         flat = lambda c: rows[c].combine_chunks().flatten().to_numpy()
         odd = flat("odd").view(np.uint64).reshape(len(node), -1)
         keys = flat("keys").reshape(len(node), -1)
+        whole = np.frombuffer(b"".join(rows["whole"].to_pylist()), np.uint64).reshape(len(node), -1)
         seekers = np.flatnonzero(~main & ~lead)
         for at in range(0, len(seekers), 32):
             some = seekers[at: at + 32]
@@ -156,6 +169,12 @@ def _rest(most_bits: int, num: int, den: int):
             ok &= main[None, :] | ((block == 0) & (node[some][:, None] < node[None, :]))
             i, j = np.nonzero(ok)
             i = some[i]
+            differ = np.zeros(len(i), np.int64)
+            for lo in range(0, len(i), 65536):
+                hi = lo + 65536
+                differ[lo:hi] = np.bitwise_count(whole[i[lo:hi]] ^ whole[j[lo:hi]]).sum(-1)
+            ok = (den + num) * differ <= (den - num) * (size[i] + size[j])
+            i, j = i[ok], j[ok]
             same = keys[i] == keys[j]
             first = keys[i, same.argmax(axis=1)] == key if len(i) else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([pa.array(node[i[first]]), pa.array(node[j[first]])], names=["a", "b"])
@@ -213,10 +232,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     active = member.select("node", "first_doc").distinct()
     sets = materialize(
         texts.join(active, F.col("doc_id") == F.col("first_doc")).select("node", "text")
-        .mapInArrow(_set_rows(words), "node long, set binary").filter("set is not null"), "near-sets")
+        .mapInArrow(_set_rows(words), "node long, set binary, whole binary").filter("set is not null"), "near-sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        both = (pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb"))
+        both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb"))
         return materialize(both.mapInArrow(_confirm(num, den), "a long, b long").distinct(), "near-links")
 
     links = confirmed(star)
@@ -231,9 +250,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
             .withColumn("main", F.col("component") == F.col("main_component"))
             .withColumn("block", F.explode(F.when(F.col("main"), F.array(F.pmod(F.hash("node"), blocks)))
                                            .otherwise(F.sequence(F.lit(0), blocks - 1))))
-            .join(classes.select("node", "n_shingles", "odd", "keys"), "node")
+            .join(classes.select("node", "n_shingles", "odd", "keys"), "node").join(sets.select("node", "whole"), "node")
             .select("key", "block", "node", "component", "main", (F.col("node") == F.col("lead")).alias("lead"),
-                    "n_shingles", "odd", "keys")
+                    "n_shingles", "odd", "keys", "whole")
             .repartition("key", "block").sortWithinPartitions("key", "block"))
     more = confirmed(rest.mapInArrow(_rest(most_bits, num, den), "a long, b long"))
     if more.limit(1).count():
