@@ -2,12 +2,15 @@
 
 from . import (  # noqa: F401
     chat_windows,
+    column_bwt,
     es_mixing,
+    license_scan,
     lsa_decontam,
     maglev,
     odd_sketch,
     pairwise_quality,
     risk_rules,
+    string_kernel,
 )
 from .registry import ORACLE_SQL, QUERIES
 
