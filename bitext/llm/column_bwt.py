@@ -51,6 +51,9 @@ from .registry import query, table
 LENGTH, KEY = 400, 48
 #: Segments that a task builds together (whole groups; a larger group alone).
 CHUNK = 32_768
+#: Segments of one anchor that one task builds.  Strings of a more frequent
+#: anchor are counted by their hash instead, which any number of tasks can do.
+MAX_GROUP = 100_000
 _PAD = 0xFF  # never a UTF-8 byte
 
 _BYTE = (tk.mix64(np.arange(256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -153,11 +156,13 @@ def _segments(length: int, key: int):
                     a, lo, hi = int(place[j]), int(first[j]), int(last[j])
                     seg = text[lo: hi + length].tobytes()
                     seen.setdefault((int(hashes[j].view(np.int64)), a - lo, seg), []).append((a, lo, hi))
+                known = []
                 for (anchor, _, seg), places in seen.items():
                     out.append((anchor, hs[i], gs[i], *places[0], seg))
                     if len(places) > 1:
-                        out += [(anchor, hs[i], gs[i], *p, None) for p in places]
+                        known += [(lo, hi) for _, lo, hi in places]
                     held += len(seg)
+                out += [(hs[i], hs[i], gs[i], lo, lo, hi, None) for lo, hi in _joined(sorted(known))]
                 if held > 1 << 24:
                     yield _batch(out, _SEGMENT)
                     out, held = [], 0
@@ -165,6 +170,37 @@ def _segments(length: int, key: int):
     return run
 
 
+def _joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted runs of starts, neighbours made one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in runs:
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = out[-1][0], max(out[-1][1], hi)
+        else:
+            out.append((lo, hi))
+    return out
+
+
+_STRING = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("start", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
+
+
+def _strings(length: int, key: int):
+    """(h, g, text, wanted anchor hashes) -> every string of these anchors, as
+    its start and 96 bits of hashes."""
+    def run(batches):
+        for batch in batches:
+            hs, gs, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
+            for i, (text, (_, first, last, hashes)) in enumerate(_texts(batch.column(2), length, key)):
+                grams = _gram_hashes(text, length) if len(text) >= length else None
+                for j in np.flatnonzero(np.isin(hashes, wanted[i].values.to_numpy().view(np.uint64))):
+                    start = np.arange(first[j], last[j] + 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(start), x)) for x in (hs[i], gs[i])] + [pa.array(x) for x in (
+                            start, tk.piece_hashes(text, start, start + length).view(np.int64),
+                            grams[start].astype(np.int64))], schema=_STRING)
+    return run
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [[]] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
@@ -292,7 +328,8 @@ def _cut(batches):
         yield _batch(rows, _CUT)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY, chunk: int = CHUNK) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY, chunk: int = CHUNK,
+                   max_group: int = MAX_GROUP) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     if not 0 < key < length:
         raise ValueError("the anchor must be shorter than the string")
@@ -302,16 +339,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY, chunk:
     rows = materialize(docs.mapInArrow(_survey(length, key), "doc_id long, h long, g long, n_bytes long, digest string, "
                                                              "anchors array<long>"), "bwt-survey")
     found = rows.select("h", "g", "anchors").dropDuplicates(["h", "g"]).select("h", "g", F.explode("anchors").alias("anchor"))
-    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    wanted = found.join(twice, "anchor").groupBy("h", "g").agg(F.collect_set("anchor").alias("wanted"))
-
+    twice = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+                        .select("anchor", (F.col("n") > max_group).alias("hot")), "bwt-anchors")
     texts = docs.groupBy("h", "g").agg(F.first("text").alias("text"))
-    segments = texts.join(wanted, ["h", "g"]).select("h", "g", "text", "wanted").mapInArrow(
+
+    def around(some: DataFrame) -> DataFrame:
+        wanted = found.join(some.select("anchor"), "anchor").groupBy("h", "g").agg(F.collect_set("anchor").alias("wanted"))
+        return texts.join(wanted, ["h", "g"]).select("h", "g", "text", "wanted")
+
+    segments = around(twice.filter("not hot")).mapInArrow(
         _segments(length, key), "anchor long, h long, g long, place long, first long, last long, bytes binary")
-    ranges = materialize(
-        segments.repartition("anchor").sortWithinPartitions("anchor")
-        .mapInArrow(_build(length, key, chunk), "h long, g long, start long, end long")
-        .groupBy("h", "g").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "bwt-ranges")
+    repeated = (segments.repartition("anchor").sortWithinPartitions("anchor")
+                .mapInArrow(_build(length, key, chunk), "h long, g long, start long, end long"))
+    if twice.filter("hot").limit(1).count():
+        strings = materialize(around(twice.filter("hot")).mapInArrow(
+            _strings(length, key), "h long, g long, start long, s1 long, s2 long"), "bwt-strings")
+        often = strings.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("s1", "s2")
+        repeated = repeated.unionByName(strings.join(often, ["s1", "s2"]).select(
+            "h", "g", "start", (F.col("start") + length).alias("end")))
+    ranges = materialize(repeated.groupBy("h", "g").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "bwt-ranges")
     cuts = (docs.select("h", "g", "text").join(ranges, ["h", "g"]).groupBy("h", "g")
             .agg(F.first("text").alias("text"), F.first("ranges").alias("ranges"))
             .mapInArrow(_cut, "h long, g long, cut_removed long, cut_spans long, cut_digest string"))
