@@ -176,6 +176,7 @@ def _holds(part: np.ndarray, answer: np.ndarray) -> bool:
 def _search(model, coverage: float, paraphrase: float, min_cosine: float):
     def run(batches):
         project, items, targets = model.value  # terms x rank; (id, ids); items x rank
+        here = np.zeros(len(project) + 1, bool)  # the last place is that of other words (-1)
         masks = []
         for _, ids in items:
             m: dict[int, int] = {}
@@ -189,7 +190,12 @@ def _search(model, coverage: float, paraphrase: float, min_cosine: float):
             n = len(want)
             lo, hi = max(0, at * HALF - n), min(len(ids), (at + 2) * HALF + n)
             part = ids[lo:hi]
-            found = lcs(masks[item], n, part[np.isin(part, want)].tolist())
+            here[part] = True
+            bound = np.count_nonzero(here[want])
+            here[part] = False
+            if bound < paraphrase * n:  # no common subsequence can be longer
+                return None
+            found = lcs(masks[item], n, part[part >= 0].tolist())
             if found < paraphrase * n:
                 return None
             answer = _holds(part, want[n - max(1, int(n * ANSWER_SHARE)):])
