@@ -11,9 +11,11 @@ WS_CLASS = ("[\\t\\n\\x{0B}\\f\\r\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}
             "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]")
 STRIP_RE = f"^{WS_CLASS}+|{WS_CLASS}+$"
 
-# Token rule: lower case, split on anything that is not an ASCII letter or
-# digit, drop empties.  The same rule is used by the DuckDB oracle.
-WORD_SPLIT = "[^a-z0-9]+"
+# Token rule: lower case, split on anything that is not a letter, mark or
+# digit of any script, drop empties.
+WORD_SPLIT = r"[^\p{L}\p{M}\p{N}]+"
+# ROUGE-L's public definition knows ASCII letters and digits only.
+ASCII_SPLIT = "[^a-z0-9]+"
 
 # Strings pandas.read_csv treats as missing by default.
 PANDAS_NA = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -37,10 +39,10 @@ def not_blank(c) -> Column:
     return s.isNotNull() & (s != "")
 
 
-def tokens(c) -> Column:
-    """array<string> of lower-case ASCII word tokens."""
+def tokens(c, split: str = WORD_SPLIT) -> Column:
+    """array<string> of lower-case word tokens."""
     # a filter lambda measured ~6x faster than array_remove on token arrays
-    return F.filter(F.split(F.lower(_c(c)), WORD_SPLIT), lambda x: x != "")
+    return F.filter(F.split(F.lower(_c(c)), split), lambda x: x != "")
 
 
 def stringify_null(c, literal: str = "None") -> Column:

@@ -92,8 +92,8 @@ def drop_raw(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 # The naming schemes of scored/augmented tables seen in the
 # reference's file contracts, mapped to one scheme (src, tgt, similarity).
 HARMONISE_SCHEMES = {
-    "src": ("sentence", "english", "en", "eng", "tl", "src"),
-    "tgt": ("rinconada", "synthetic_rinconada", "rin", "tgt"),
+    "src": ("sentence", "english", "en", "eng", "src", "tl"),
+    "tgt": ("rinconada", "synthetic_rinconada", "rin", "tgt", "tl"),
     "similarity": ("similarity",),
 }
 
@@ -101,11 +101,14 @@ HARMONISE_SCHEMES = {
 def harmonise(df: DataFrame, schemes: Mapping[str, Iterable[str]] = HARMONISE_SCHEMES,
               origin: str | None = None, keep: Iterable[str] = ()) -> DataFrame:
     """Map any known naming scheme to ``(keep..., src, tgt, similarity[, origin])``:
-    the first present candidate of each target name wins; absent → null."""
-    out = [F.col(k) for k in keep]
+    the first present candidate of each target name wins, and a column is used
+    once (``tl`` is the target beside ``en`` and the source beside ``rin``);
+    absent → null."""
+    out, taken = [F.col(k) for k in keep], set()
     for target, candidates in schemes.items():
-        present = [c for c in candidates if c in df.columns]
+        present = [c for c in candidates if c in df.columns and c not in taken]
         if present:
+            taken.add(present[0])
             out.append(F.col(present[0]).alias(target))
         else:
             out.append(F.lit(None).cast("double" if target == "similarity" else "string").alias(target))

@@ -16,6 +16,8 @@ Supported: running ``sum`` (row numbers are running sums of 1) and running
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,7 +53,10 @@ def running_many(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("_pid", *keys, *[_AGG[how](f"_b{i}").over(before).alias(f"_o{i}")
                                              for i, (_, how, _, _) in enumerate(specs)])
-    out = local.join(offsets, ["_pid", *keys], "inner")
+    # null-safe: rows with a null key are a key of their own
+    right = offsets.withColumnsRenamed({c: f"_k_{c}" for c in ["_pid", *keys]})
+    on = [local[c].eqNullSafe(right[f"_k_{c}"]) for c in ["_pid", *keys]]
+    out = local.join(right, reduce(and_, on), "inner").drop(*[f"_k_{c}" for c in ["_pid", *keys]])
     res = {}
     for i, (_, how, name, _) in enumerate(specs):
         if how == "sum":

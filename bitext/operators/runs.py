@@ -28,7 +28,8 @@ def batch_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], batch
 def running_progress(log: DataFrame, job: str, ts: str, rows: str | None = None,
                      order: str | None = None, total: str | None = None) -> DataFrame:
     """Per log row: ``done`` (rows finished so far in the job), ``elapsed_s``
-    since the job's first row, ``rows_per_s`` (null at 0 s) and ``eta_s``.
+    since the job's first row, ``rows_per_s`` (null at 0 s) and ``eta_s`` (null
+    while nothing is done).  Records of a null job are a job of their own.
 
     ``rows`` (default 1 per record) is summed in (ts, order) order with the
     skew-safe ``running_by``; the job start and total are a ``groupBy``.
@@ -37,13 +38,15 @@ def running_progress(log: DataFrame, job: str, ts: str, rows: str | None = None,
     r = F.col(rows) if rows else F.lit(1)
     base = log.withColumn("_r", r.cast("long"))
     firsts = base.groupBy(job).agg(F.min(ts).alias("_t0"), F.sum("_r").alias("_tot"))
-    out = running_by(base, [job], order_cols, "_r", "sum", "done").join(firsts, job, "inner")
+    firsts = firsts.withColumnRenamed(job, "_job")
+    out = running_by(base, [job], order_cols, "_r", "sum", "done")
+    out = out.join(firsts, out[job].eqNullSafe(firsts["_job"]), "inner").drop("_job")
     secs = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_t0").cast("timestamp"))) / 1e6
     tot = F.col(total) if total else F.col("_tot")
     speed = F.when(F.col("elapsed_s") > 0, F.col("done") / F.col("elapsed_s"))
     return (out.withColumn("elapsed_s", secs)
                .withColumn("rows_per_s", speed)
-               .withColumn("eta_s", (tot - F.col("done")) / F.col("rows_per_s"))
+               .withColumn("eta_s", F.when(F.col("rows_per_s") > 0, (tot - F.col("done")) / F.col("rows_per_s")))
                .drop("_r", "_t0", "_tot"))
 
 
@@ -58,7 +61,8 @@ def best_checkpoint(log: DataFrame, run: str, step: str, metric: str) -> DataFra
 def early_stop(log: DataFrame, run: str, step: str, metric: str, patience: int) -> DataFrame:
     """``(run, stop_step, best_step, best_metric, n_evals)``: the step at which
     ``patience`` evaluations in a row have not strictly beaten the best so
-    far (null when the run never stops).
+    far (null when the run never stops).  Every run of the log is there; one
+    without any metric has no best, and stops after ``patience`` evaluations.
 
     Improvement flag from the running max of the previous rows; the running
     count of improvements numbers the stretches; inside a stretch the stale
@@ -66,36 +70,53 @@ def early_stop(log: DataFrame, run: str, step: str, metric: str, patience: int)
     aggregates (``running_by``), so a run with a huge log is spread over
     many tasks.
     """
-    base = log.select(run, step, metric)
+    # NaN is no improvement, as "greater than" is false with it; Spark would
+    # order it highest, so it is read as missing
+    log = log.select(run, step, F.nanvl(F.col(metric).cast("double"), F.lit(None)).alias(metric))
+    base = log
     # pass 1: row number and best of the previous rows
     p1 = running_many(base, [run], [step], [(F.lit(1).cast("long"), "sum", "_rn", False),
                                             (metric, "max", "_prev", True)])
-    imp = F.col("_prev").isNull() | (F.col(metric) > F.col("_prev"))
+    imp = F.col(metric).isNotNull() & (F.col("_prev").isNull() | (F.col(metric) > F.col("_prev")))
     # pass 2: row number of the latest improvement; stale = rows since it
     p2 = running_many(p1.withColumn("_imp_rn", F.when(imp, F.col("_rn"))), [run], [step],
                       [("_imp_rn", "max", "_last", False)])
-    staled = p2.withColumn("_stale", F.col("_rn") - F.col("_last"))
+    staled = p2.withColumn("_stale", F.col("_rn") - F.coalesce("_last", F.lit(0)))
     stops = staled.where(F.col("_stale") == patience).groupBy(run).agg(F.min(step).alias("stop_step"))
     best = best_checkpoint(log, run, step, metric)
     n = log.groupBy(run).agg(F.count(F.lit(1)).alias("n_evals"))
-    return best.join(n, run).join(stops, run, "left").select(run, "stop_step", "best_step", "best_metric", "n_evals")
+    best, stops = best.withColumnRenamed(run, "_b"), stops.withColumnRenamed(run, "_s")
+    return (n.join(best, n[run].eqNullSafe(best["_b"]), "left").join(stops, n[run].eqNullSafe(stops["_s"]), "left")
+            .select(run, "stop_step", "best_step", "best_metric", "n_evals"))
 
 
 def retain_last_k(log: DataFrame, run: str, step: str, metric: str, k: int) -> DataFrame:
     """Checkpoints kept by a ``save_total_limit=k`` rule with best-model
-    tracking: the newest ``k`` steps of each run plus its best step.
+    tracking: the best step of each run and the newest others, ``k`` in all
+    (for ``k`` = 1 the newest stays beside the best).  A run without any
+    metric keeps its ``k`` newest.
 
     ``row_number() <= k`` is planned as a per-partition group limit before
     the shuffle, so at most k rows per run and partition move.
     """
     w = Window.partitionBy(run).orderBy(F.col(step).desc())
-    newest = (log.select(run, step, metric).withColumn("_rn", F.row_number().over(w))
-                 .where(F.col("_rn") <= k).drop("_rn").withColumn("_why", F.lit("newest")))
+    newest = (log.select(run, step, metric).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max(k, 2))
+              .withColumn("_best", F.lit(False)))
     best = best_checkpoint(log, run, step, metric).select(
-        run, F.col("best_step").alias(step), F.col("best_metric").alias(metric)).withColumn("_why", F.lit("best"))
-    both = newest.unionByName(best)
-    return both.groupBy(run, step).agg(F.first(metric).alias(metric),
-                                       F.array_sort(F.collect_set("_why")).alias("reasons"))
+        run, F.col("best_step").alias(step), F.col("best_metric").alias(metric), F.lit(None).cast("int").alias("_rn"),
+        F.lit(True).alias("_best"))
+    # at most k + 1 rows per run from here on
+    both = newest.unionByName(best).groupBy(run, step).agg(
+        F.first(metric).alias(metric), F.min("_rn").alias("_rn"), F.max("_best").alias("_best"))
+    per = Window.partitionBy(run)
+    others = F.sum(F.when(~F.col("_best"), 1).otherwise(0)).over(
+        per.orderBy(F.col(step).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = both.withColumn("_tracked", F.max("_best").over(per)).withColumn("_others", others)
+    room = F.when(F.col("_tracked"), F.lit(max(k - 1, 1))).otherwise(F.lit(k))
+    return both.where(F.col("_best") | (F.col("_others") <= room)).select(
+        run, step, metric, F.array_compact(F.array(
+            F.when(F.col("_best"), F.lit("best")),
+            F.when(F.col("_rn") <= F.when(F.col("_best"), k).otherwise(F.lit(max(k, 2))), F.lit("newest")))).alias("reasons"))
 
 
 def label_runs(log: DataFrame, run: str, ts: str, direction, size, epochs, out: str = "run_name") -> DataFrame:

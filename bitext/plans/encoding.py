@@ -16,8 +16,8 @@ from ..sources.tables import load_table
 from . import sqlparts as S
 from .registry import query
 
-DOC_VOCAB = 5000
-PAIR_VOCAB = 2000
+DOC_VOCAB = 60_000
+PAIR_VOCAB = 60_000
 MAX_LEN = 64      # fixed value: Marian max_length of the reference
 BATCH = 16        # effective training batch of the reference
 

@@ -33,6 +33,16 @@ def q_batch_number(spark: SparkSession, data_dir: str) -> DataFrame:
     return R.batch_number(docs, ["lang"], ["doc_id"], DOC_BATCH)
 
 
+@query("batch_number_null_key", sql=f"""
+SELECT doc_id, k AS lang, CAST((row_number() OVER (PARTITION BY k ORDER BY doc_id) - 1) // {DOC_BATCH} AS BIGINT) AS batch_id
+FROM (SELECT doc_id, nullif(lang, 'en') AS k FROM documents)
+""")
+def q_batch_number_null_key(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Batches where one language is missing: null is a key like any other."""
+    docs = load_table(spark, data_dir, "documents").select("doc_id", F.expr("nullif(lang, 'en')").alias("lang"))
+    return R.batch_number(docs, ["lang"], ["doc_id"], DOC_BATCH)
+
+
 @query("running_progress", sql="""
 SELECT event_id, event_type, done, round(elapsed_s, 3) AS elapsed_s,
        round(CASE WHEN elapsed_s > 0 THEN done / elapsed_s END, 3) AS rows_per_s,
@@ -58,7 +68,7 @@ _IMP = ("CASE WHEN max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS
         "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END")
 _BEST = """best AS (
   SELECT user_id, arg_max(event_id, struct_pack(m := value, s := -event_id)) AS best_step,
-         max(value) AS best_metric, count(*) AS n_evals
+         max(value) AS best_metric
   FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY user_id)"""
 
 
@@ -68,13 +78,14 @@ g AS (SELECT *, sum(imp) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOU
 s AS (SELECT *, row_number() OVER (PARTITION BY user_id, grp ORDER BY event_id) - 1 AS stale FROM g),
 stops AS (SELECT user_id, min(event_id) AS stop_step FROM s WHERE stale = {PATIENCE} GROUP BY user_id),
 {_BEST}
-SELECT b.user_id AS run_id, t.stop_step, b.best_step, b.best_metric, b.n_evals
-FROM best b LEFT JOIN stops t ON t.user_id = b.user_id
+SELECT n.user_id AS run_id, t.stop_step, b.best_step, b.best_metric, n.n_evals
+FROM (SELECT user_id, count(*) AS n_evals FROM events GROUP BY user_id) n
+LEFT JOIN best b ON b.user_id IS NOT DISTINCT FROM n.user_id
+LEFT JOIN stops t ON t.user_id IS NOT DISTINCT FROM n.user_id
 """)
 def q_early_stop(spark: SparkSession, data_dir: str) -> DataFrame:
     """Step at which 5 evaluations in a row fail to beat the best BLEU."""
-    return R.early_stop(_evals(spark, data_dir), "run_id", "step", "metric", PATIENCE).withColumnRenamed(
-        "best_metric", "best_metric")
+    return R.early_stop(_evals(spark, data_dir), "run_id", "step", "metric", PATIENCE)
 
 
 @query("best_checkpoint", sql=f"""
@@ -91,11 +102,16 @@ newest AS (
   SELECT user_id, event_id, value, 'newest' AS why FROM (
     SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn
     FROM events) WHERE rn <= {KEEP_LAST}),
+ranked AS (
+  SELECT e.user_id, e.event_id, e.value, e.event_id IS NOT DISTINCT FROM b.best_step AS is_best,
+         row_number() OVER (PARTITION BY e.user_id ORDER BY (e.event_id IS NOT DISTINCT FROM b.best_step) DESC,
+                            e.event_id DESC) AS place
+  FROM events e LEFT JOIN best b ON b.user_id = e.user_id),
 kept AS (
-  SELECT * FROM newest
+  SELECT r.user_id, r.event_id, r.value, 'best' AS why FROM ranked r WHERE is_best
   UNION ALL
-  SELECT e.user_id, e.event_id, e.value, 'best' FROM best b JOIN events e
-    ON e.user_id = b.user_id AND e.event_id = b.best_step),
+  SELECT r.user_id, r.event_id, r.value, 'newest' FROM ranked r JOIN newest n
+    ON n.user_id = r.user_id AND n.event_id = r.event_id WHERE place <= {KEEP_LAST}),
 names AS (
   SELECT user_id, '{RUN_LABEL[0]}_{RUN_LABEL[1]}_{RUN_LABEL[2]}_run-' || strftime(min(ts), '%Y%m%d-%H%M%S') AS run_name
   FROM events GROUP BY user_id)
@@ -110,5 +126,6 @@ def q_retain_last_k(spark: SparkSession, data_dir: str) -> DataFrame:
     ev = _evals(spark, data_dir)
     kept = R.retain_last_k(ev, "run_id", "step", "metric", KEEP_LAST)
     names = R.label_runs(ev, "run_id", "ts", *RUN_LABEL)
-    return kept.join(names, "run_id").select("run_id", "run_name", "step", "metric",
+    names = names.withColumnRenamed("run_id", "_run")
+    return kept.join(names, kept["run_id"].eqNullSafe(names["_run"])).select("run_id", "run_name", "step", "metric",
                                              F.array_join("reasons", "+").alias("reasons"))

@@ -1,17 +1,20 @@
 """SQL fragments shared by the DuckDB oracle queries (same rules as the
 Spark expressions in ``bitext.functions``)."""
 
-from ..functions.text import STRIP_RE, WORD_SPLIT
+from ..functions.text import STRIP_RE
 
 STRIP = STRIP_RE
+# Written out here, not imported, so that the check is independent.
+WORDS = r"[^\p{L}\p{M}\p{N}]+"
+ROUGE_WORDS = "[^a-z0-9]+"
 
 
 def strip(expr: str) -> str:
     return f"regexp_replace({expr}, '{STRIP}', '', 'g')"
 
 
-def tokens(expr: str) -> str:
-    return f"list_filter(regexp_split_to_array(lower({expr}), '{WORD_SPLIT}'), lambda x: x <> '')"
+def tokens(expr: str, split: str = WORDS) -> str:
+    return f"list_filter(regexp_split_to_array(lower({expr}), '{split}'), lambda x: x <> '')"
 
 
 def turn_pairs_cte(name: str = "pairs", src_role: str = "user", tgt_role: str = "assistant",
@@ -257,7 +260,7 @@ ALPHA, BETA, GAMMA = 0.9, 3.0, 0.5
 def lcs_ctes(prefix: str, rows: str, key: str, hyp: str, ref: str) -> str:
     """Recursive CTE: {prefix}_sent (key, lcs, rougeL) — row-by-row LCS DP with a
     running max over the reference positions."""
-    return f"""{prefix}_t AS (SELECT {key}, {tokens(hyp)} AS h, {tokens(ref)} AS r FROM {rows}),
+    return f"""{prefix}_t AS (SELECT {key}, {tokens(hyp, ROUGE_WORDS)} AS h, {tokens(ref, ROUGE_WORDS)} AS r FROM {rows}),
 {prefix}_cells AS (SELECT {key}, unnest(range(len(r) + 1)) AS j FROM {prefix}_t),
 {prefix}_dp({key}, i, j, v) AS (
   SELECT {key}, 0, j, 0 FROM {prefix}_cells

@@ -19,7 +19,7 @@ from . import sqlparts as S
 from .encoding import pairs_of
 from .registry import query
 
-EM_ITERS = 2
+EM_ITERS = 5
 
 
 def lexicons(spark: SparkSession, data_dir: str, iterations: int = EM_ITERS):

@@ -5,8 +5,14 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import regex
+
 
 def tokens(s):
+    return [t for t in regex.split(r"[^\p{L}\p{M}\p{N}]+", s.lower()) if t]
+
+
+def ascii_tokens(s):
     return [t for t in re.split(r"[^a-z0-9]+", s.lower()) if t]
 
 
