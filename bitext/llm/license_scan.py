@@ -6,7 +6,8 @@ every WINDOW neighbouring hashes), which gives an inverted index from
 fingerprint to (template, place).  Every run of a whole text is looked up;
 hits on nearby diagonals of one template form a candidate, and a banded
 alignment of the template with that part of the text (longest common
-subsequence of words within BAND of the diagonal) tells which template words
+subsequence of words within BAND, or a quarter of the template, of the
+diagonal) tells which template words
 are there and where.  A template match of WINDOW + SHINGLE - 1 words or more
 always has a fingerprint.
 
@@ -121,13 +122,14 @@ def _occurrences(words: np.ndarray, index, band: int, least: float):
     for t, found in hits.items():
         want, kept, tried = templates[t].tolist(), [], []
         n = len(want)
+        around = max(1, min(band, n // 4))  # short templates may follow each other closely
         for diagonal, _ in sorted(found, key=lambda h: h[1]):
-            if tried and abs(diagonal - tried[-1]) <= band // 2:
+            if tried and abs(diagonal - tried[-1]) <= around // 2:
                 continue  # the band around the last diagonal covers it
             tried.append(diagonal)
-            lo = max(0, diagonal - band)
-            part = words[lo: max(lo, diagonal + n + band)].tolist()
-            pairs = [(i, j + lo) for i, j in align(want, part, diagonal - lo, band)]
+            lo = max(0, diagonal - around)
+            part = words[lo: max(lo, diagonal + n + around)].tolist()
+            pairs = [(i, j + lo) for i, j in align(want, part, diagonal - lo, around)]
             if len(pairs) >= least * n:
                 kept.append(pairs)
         kept.sort(key=lambda p: (-len(p), p[-1][1] - p[0][1], p[0][1]))
