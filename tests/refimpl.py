@@ -96,7 +96,7 @@ def lcs(a, b):
 
 
 def rouge_l(h, r):
-    ht, rt = tokens(h), tokens(r)
+    ht, rt = ascii_tokens(h), ascii_tokens(r)
     if not ht or not rt:
         return 0.0
     x = lcs(ht, rt)

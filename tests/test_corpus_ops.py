@@ -161,3 +161,42 @@ def test_with_row_id(spark):
     from bitext.operators.pairs import with_row_id
     df = spark.createDataFrame([(i * 3 % 17,) for i in range(17)], "v long")
     assert sorted(map(tuple, with_row_id(df, ["v"]).select("v", "row_id").collect())) == [(i, i) for i in range(17)]
+
+
+def test_words_of_other_scripts_survive(spark):
+    from bitext.functions.text import tokens
+    df = spark.createDataFrame([("Señor año mañana, DON'T",), ("привет мир",)], "t string")
+    assert [list(r[0]) for r in df.select(tokens("t")).collect()] == [["señor", "año", "mañana", "don", "t"], ["привет", "мир"]]
+
+
+def test_null_keys_and_ids_keep_their_rows(spark):
+    from bitext.operators.runs import batch_number, early_stop, retain_last_k
+    from bitext.operators.split import split_exact
+    df = spark.createDataFrame([(i if i >= 5 else None, "a" if i % 2 else None) for i in range(35)], "id long, lang string")
+    assert split_exact(df, "id", 0.1, 42).groupBy("split").count().count() == 2
+    assert split_exact(df, "id", 0.1, 42).count() == 35
+    assert batch_number(df, ["lang"], ["id"], 4).count() == 35
+    log = spark.createDataFrame([("r", i, m) for i, m in enumerate([5.0, float("nan"), 4.0, 3.0, 9.0])]
+                                + [("n", i, float("nan")) for i in range(3)], "run string, step int, metric double")
+    got = {r.run: (r.stop_step, r.best_step) for r in early_stop(log, "run", "step", "metric", 2).collect()}
+    assert got == {"r": (2, 4), "n": (1, None)}
+    kept = {}
+    for r in retain_last_k(log, "run", "step", "metric", 2).collect():
+        kept.setdefault(r.run, set()).add(r.step)
+    assert kept == {"r": {4, 3}, "n": {1, 2}}
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    import pytest
+    from bitext.sources.csv import scan_csv
+    (tmp_path / "t.csv").write_text("eng,rin\nhello,kumusta\n")
+    row = scan_csv(spark, str(tmp_path / "t.csv"), "rin string, eng string").first()
+    assert (row.rin, row.eng) == ("kumusta", "hello")
+    with pytest.raises(Exception):
+        scan_csv(spark, str(tmp_path / "t.csv"), "rin string, tl string").collect()
+
+
+def test_harmonise_maps_en_tl(spark):
+    from bitext.operators.clean import harmonise
+    row = harmonise(spark.createDataFrame([("a", "b")], "en string, tl string")).first()
+    assert (row.src, row.tgt) == ("a", "b")
