@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
-# Pair key of a conversation turn: conv_id * TURN_BASE + turn (turn < TURN_BASE).
-TURN_BASE = 1_000_000
+
+def part_key(whole: str, part: str) -> Column:
+    """Key of a part of a row (a turn of a conversation, a line of a document):
+    ``'<whole>:<part>'``.  No two parts share it, however many there are; it is
+    null where either column is null."""
+    return F.concat(F.col(whole).cast("string"), F.lit(":"), F.col(part).cast("string"))
 
 
 def turn_pairs(conversations: DataFrame, src_role: str = "user", tgt_role: str = "assistant",
@@ -24,8 +28,7 @@ def turn_pairs(conversations: DataFrame, src_role: str = "user", tgt_role: str =
     b = conversations.where(F.col("role") == tgt_role).select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias(tgt))
     return (a.join(b, ["conv_id", "turn"], "inner")
-             .select((F.col("conv_id") * TURN_BASE + F.col("turn")).alias("pair_id"),
-                     "conv_id", "turn", src, tgt))
+             .select(part_key("conv_id", "turn").alias("pair_id"), "conv_id", "turn", src, tgt))
 
 
 def turn_chains(conversations: DataFrame, roles=("user", "assistant", "user"),
@@ -37,7 +40,7 @@ def turn_chains(conversations: DataFrame, roles=("user", "assistant", "user"),
         parts.append(conversations.where(F.col("role") == role).select(
             "conv_id", (F.col("turn") - k).alias("turn"), F.col("text").alias(name)))
     out = parts[0].join(parts[1], ["conv_id", "turn"]).join(parts[2], ["conv_id", "turn"])
-    return out.select((F.col("conv_id") * TURN_BASE + F.col("turn")).alias("chain_id"), *names)
+    return out.select(part_key("conv_id", "turn").alias("chain_id"), *names)
 
 
 def zip_rows(left: DataFrame, right: DataFrame, row_id: str = "row_id") -> DataFrame:

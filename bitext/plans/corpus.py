@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.text import PANDAS_NA, strip
 from ..operators import clean as C
 from ..operators.ordering import row_number_by
-from ..operators.pairs import TURN_BASE, clean_pairs, turn_pairs, with_row_id, zip_rows
+from ..operators.pairs import clean_pairs, part_key, table_from_columns, turn_pairs, with_row_id, zip_rows
 from ..operators.split import SEED, TEST_SIZE, split_exact, split_hash
 from ..session import checkpoint_dir
 from ..sources.contracts import require_columns
@@ -21,19 +21,20 @@ from ..sources.tables import load_table
 from . import sqlparts as S
 from .registry import query
 
-LINE_BASE = 1_000_000
 
-
-def doc_lines(spark: SparkSession, data_dir: str) -> DataFrame:
+def split_lines(docs: DataFrame) -> DataFrame:
     """``(line_id, doc_id, lang, line)``: documents split on line breaks (as
     Python's universal newlines do), stripped, blank lines dropped."""
-    docs = load_table(spark, data_dir, "documents").select("doc_id", "lang", "text")
     ex = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\\r\\n|\\r|\\n")).alias("k", "value"))
-    lines = ex.select((F.col("doc_id") * LINE_BASE + F.col("k")).alias("line_id"), "doc_id", "lang",
-                      strip("value").alias("line"))
+    lines = ex.select(part_key("doc_id", "k").alias("line_id"), "doc_id", "lang", strip("value").alias("line"))
     return lines.where(F.col("line").isNotNull() & (F.col("line") != ""))
 
 
+def doc_lines(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The lines of ``documents``."""
+    return split_lines(load_table(spark, data_dir, "documents"))
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -69,6 +70,33 @@ def q_csv_round_trip(spark: SparkSession, data_dir: str) -> DataFrame:
     return scan_csv(spark, path, DOC_SCHEMA)
 
 
+@query("csv_reordered", sql=f"""
+SELECT doc_id, lang, source, CASE WHEN text IN ({_NA_LIST}) THEN NULL ELSE text END AS text
+FROM documents
+""")
+def q_csv_reordered(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Columns are found by name: a file written in another column order."""
+    path = scratch_path(spark, "csv-reordered")
+    sink_csv(load_table(spark, data_dir, "documents").select("text", "source", "lang", "doc_id"), path)
+    return scan_csv(spark, path, DOC_SCHEMA)
+
+
+@query("column_picks", sql="""
+WITH t AS (SELECT text AS sentence, lang AS language FROM documents WHERE lang IS NOT NULL)
+SELECT 'named' AS rule, language AS value, count(*) AS n FROM t GROUP BY language
+UNION ALL
+SELECT 'first', sentence, count(*) FROM t GROUP BY sentence
+""")
+def q_column_picks(spark: SparkSession, data_dir: str) -> DataFrame:
+    """A table built from columns, rows without a language dropped, then a
+    column picked by name and, where the name is absent, the first one."""
+    t = table_from_columns(load_table(spark, data_dir, "documents"), {"sentence": "text", "language": "lang"})
+    t = C.not_null(t, "language")
+    picks = [C.pick_or_first(t, name, "value").withColumn("rule", F.lit(rule))
+             for rule, name in (("named", "language"), ("first", "absent"))]
+    return picks[0].unionByName(picks[1]).groupBy("rule", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("scan_lines", sql=f"""
 WITH {S.doc_lines_cte()}
 SELECT line AS sentence, count(*) AS n FROM lines GROUP BY line
@@ -108,8 +136,6 @@ def q_orient_pairs(spark: SparkSession, data_dir: str) -> DataFrame:
     named = C.rename(pairs, {"src": "sentence", "tgt": "rinconada", "absent": "ignored"})
     unified = C.harmonise(named, origin="real", keep=["pair_id"])
     require_columns(unified, ["src", "tgt"])
-    user_first = C.pick_or_first(unified.select("src", "pair_id"), "src")  # contract of O11
-    assert user_first.columns == ["src"]
     both = C.both_directions(unified, "src", "tgt", keep=["pair_id", "origin", "similarity"],
                              names=("user2assistant", "assistant2user"))
     both = C.drop_raw(both, ["similarity"])
@@ -122,11 +148,11 @@ def _open_pairs(spark, data_dir):
     a = conv.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
                                                          F.col("text").alias("tgt"))
     return u.join(a, ["conv_id", "turn"], "left").select(
-        (F.col("conv_id") * TURN_BASE + F.col("turn")).alias("pair_id"), "src", "tgt")
+        part_key("conv_id", "turn").alias("pair_id"), "src", "tgt")
 
 
 _OPEN_PAIRS = """open_pairs AS (
-  SELECT u.conv_id * 1000000 + u.turn AS pair_id, u.text AS src, a.text AS tgt
+  SELECT u.conv_id || ':' || u.turn AS pair_id, u.text AS src, a.text AS tgt
   FROM (SELECT * FROM conversations WHERE role = 'user') u
   LEFT JOIN (SELECT * FROM conversations WHERE role = 'assistant') a
     ON a.conv_id = u.conv_id AND a.turn = u.turn + 1)"""
@@ -166,6 +192,18 @@ def q_split_exact(spark: SparkSession, data_dir: str) -> DataFrame:
     return split_exact(docs, "doc_id", TEST_SIZE, SEED).select("doc_id", "split")
 
 
+@query("split_exact_null_id", sql=f"""
+WITH d AS (SELECT CASE WHEN lang = 'en' THEN NULL ELSE doc_id END AS id FROM documents)
+SELECT id, CASE WHEN row_number() OVER (ORDER BY md5('{SEED}:' || coalesce(CAST(id AS VARCHAR), '')), id)
+                     <= ceil(CAST({TEST_SIZE} AS DOUBLE) * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split
+FROM d
+""")
+def q_split_exact_null_id(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Rows without an id (one language here) are split like the others."""
+    ids = load_table(spark, data_dir, "documents").select(F.expr("if(lang = 'en', null, doc_id)").alias("id"))
+    return split_exact(ids, "id", TEST_SIZE, SEED).select("id", "split")
+
+
 @query("split_hash", sql=f"""
 SELECT doc_id, CASE WHEN CAST(('0x' || substr(md5('{SEED}:' || CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT)
                           < {TEST_SIZE} * 4294967296 THEN 'test' ELSE 'train' END AS split
@@ -186,5 +224,5 @@ def q_sink_tsv(spark: SparkSession, data_dir: str) -> DataFrame:
     path = scratch_path(spark, "tsv")
     sink_tsv(doc_lines(spark, data_dir).select("line_id", F.col("line").alias("en"), F.col("lang").alias("tl")),
              path, header=True)
-    schema = "line_id bigint, en string, tl string"
+    schema = "line_id string, en string, tl string"
     return scan_csv(spark, path, schema, sep="\t", na_values=())

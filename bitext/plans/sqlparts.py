@@ -25,7 +25,7 @@ def turn_pairs_cte(name: str = "pairs", src_role: str = "user", tgt_role: str =
         where = ("WHERE src IS NOT NULL AND tgt IS NOT NULL AND src <> '' AND tgt <> ''")
     return f"""{name} AS (
   SELECT * FROM (
-    SELECT u.conv_id * 1000000 + u.turn AS pair_id, u.conv_id, u.turn,
+    SELECT u.conv_id || ':' || u.turn AS pair_id, u.conv_id, u.turn,
            {strip('u.text') if clean else 'u.text'} AS src, {strip('a.text') if clean else 'a.text'} AS tgt
     FROM conversations u JOIN conversations a
       ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
@@ -54,9 +54,9 @@ def token_cosine_cte(name: str, pairs: str, a: str, b: str) -> str:
 # ---------------------------------------------------------------- text / lines
 def doc_lines_cte(name: str = "lines") -> str:
     """CTE: (line_id, doc_id, lang, line) — documents split on line breaks,
-    stripped, blank lines dropped; line_id = doc_id * 1e6 + line number."""
+    stripped, blank lines dropped; line_id = '<doc_id>:<line number>'."""
     return f"""{name} AS (
-  SELECT doc_id * 1000000 + k AS line_id, doc_id, lang, line FROM (
+  SELECT doc_id || ':' || k AS line_id, doc_id, lang, line FROM (
     SELECT doc_id, lang, k, {strip('ls[k + 1]')} AS line FROM (
       SELECT doc_id, lang, ls, unnest(range(len(ls))) AS k FROM (
         SELECT doc_id, lang, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS ls FROM documents)))
@@ -109,7 +109,7 @@ def ids_text(expr: str) -> str:
 # ---------------------------------------------------------------- lexicon EM
 def em_ctes(prefix: str, pairs: str, key: str, src: str, tgt: str, iterations: int,
             band: int | None) -> tuple[str, str]:
-    """CTEs of banded IBM Model 1; returns (sql, name of final lexicon CTE
+    """CTEs of IBM Model 1 (banded or not); returns (sql, name of final lexicon CTE
     with columns e, f, p)."""
     if band is None:
         lo, hi = "0", "ls - 1"
@@ -119,7 +119,7 @@ def em_ctes(prefix: str, pairs: str, key: str, src: str, tgt: str, iterations: i
     parts = [f"""{prefix}_tk AS (
   SELECT {key}, s, t, len(s) AS ls, len(t) AS lt FROM (
     SELECT {key}, {tokens(src)} AS s, {tokens(tgt)} AS t FROM {pairs}) WHERE len(s) > 0 AND len(t) > 0),
-{prefix}_links AS (
+{prefix}_links AS MATERIALIZED (
   SELECT {key}, j, s[i + 1] AS e, f FROM (
     SELECT {key}, j, f, s, unnest(range({lo}, {hi} + 1)) AS i FROM (
       SELECT {key}, s, ls, lt, j, t[j + 1] AS f FROM (
@@ -142,7 +142,7 @@ def em_ctes(prefix: str, pairs: str, key: str, src: str, tgt: str, iterations: i
 
 def best_cte(name: str, lex: str) -> str:
     """CTE: (e, f) top-1 translation per source token (p rounded to 9 places desc, f asc)."""
-    return f"""{name} AS (
+    return f"""{name} AS MATERIALIZED (
   SELECT e, f FROM (
     SELECT e, f, row_number() OVER (PARTITION BY e ORDER BY round(p, 9) DESC, f ASC) AS rk FROM {lex})
   WHERE rk = 1)"""

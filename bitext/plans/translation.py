@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import WS_CLASS
 from ..operators import metrics as M
-from ..operators.lexicon import BAND, fit_lexicon, fit_lexicons
+from ..operators.lexicon import BAND, BEAM, fit_lexicon, fit_lexicons, top_k
 from ..operators.pairs import clean_pairs, turn_chains, turn_pairs
 from ..operators.similarity import dense_cosine, token_cosine, with_token_cosine
 from ..operators.split import SEED, TEST_SIZE, split_exact
 from ..operators.synth import THRESHOLD, augment, compose_pivot, gate_blank, gate_stats
-from ..operators.translate import map_batched, translate
+from ..operators.translate import map_rows, translate
 from ..session import materialize
 from ..sources.tables import load_table
 from . import sqlparts as S
@@ -41,12 +42,26 @@ WITH {S.turn_pairs_cte()},
 SELECT e AS src_token, f AS tgt_token, round(p, 6) AS p FROM {_FWD}
 """)
 def q_fit_lexicon(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Banded IBM Model 1, 2 EM iterations, over whole turn texts."""
+    """IBM Model 1 over whole turn texts."""
     pairs = pairs_of(spark, data_dir)
     lex = fit_lexicon(pairs, "pair_id", "src", "tgt", EM_ITERS, BAND)
     return lex.select("src_token", "tgt_token", F.round("p", 6).alias("p"))
 
 
+@query("lexicon_top_k", sql=f"""
+WITH {S.turn_pairs_cte()},
+{_FWD_SQL}
+SELECT src_token, tgt_token, rank, p FROM (
+  SELECT e AS src_token, f AS tgt_token, round(p, 6) AS p,
+         row_number() OVER (PARTITION BY e ORDER BY round(p, 9) DESC, f ASC) AS rank FROM {_FWD})
+WHERE rank <= {BEAM}
+""")
+def q_lexicon_top_k(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The best translations of every source word (as many as the beam is wide)."""
+    best = top_k(fit_lexicon(pairs_of(spark, data_dir), "pair_id", "src", "tgt", EM_ITERS, BAND), BEAM)
+    return best.select("src_token", "tgt_token", F.col("rank").cast("long").alias("rank"), F.round("p", 6).alias("p"))
+
+
 @query("lexicon_translate", sql=f"""
 WITH {S.turn_pairs_cte()},
 {_FWD_SQL},
@@ -107,14 +122,14 @@ def q_round_trip(spark: SparkSession, data_dir: str) -> DataFrame:
 WITH {_ROUND_TRIP_SQL}
 SELECT 'real' AS origin, pair_id AS id, src, tgt FROM pairs
 UNION ALL
-SELECT 'synthetic', doc_id, text, synthetic FROM scored
+SELECT 'synthetic', CAST(doc_id AS VARCHAR), text, synthetic FROM scored
 WHERE similarity >= {THRESHOLD} AND synthetic IS NOT NULL AND synthetic <> ''
 """)
 def q_augment(spark: SparkSession, data_dir: str) -> DataFrame:
     """Real pairs ∪ accepted synthetic pairs, tagged by origin."""
     real = pairs_of(spark, data_dir).select(F.col("pair_id").alias("id"), "src", "tgt")
     synth = gate_blank(round_trip_docs(spark, data_dir), "synthetic", "similarity", THRESHOLD).select(
-        F.col("doc_id").alias("id"), F.col("text").alias("src"), F.col("synthetic").alias("tgt"), "similarity")
+        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("src"), F.col("synthetic").alias("tgt"), "similarity")
     out = augment(real, synth, "src", "tgt", None, "similarity", "id")
     return out.select("origin", "id", "src", "tgt")
 
@@ -147,7 +162,10 @@ ths AS (SELECT unnest(CAST({_THS} AS DOUBLE[])) AS threshold)
 SELECT s.label, t.threshold, count(*) FILTER (WHERE s.similarity >= t.threshold) AS accepted,
        count(*) FILTER (WHERE NOT (s.similarity >= t.threshold) OR s.similarity IS NULL) AS rejected,
        round(CAST(count(*) FILTER (WHERE s.similarity >= t.threshold) AS DOUBLE) / count(*), 6) AS acceptance_rate,
-       round(avg(s.similarity), 6) AS mean_sim
+       round(avg(s.similarity), 6) AS mean_sim,
+       round(quantile_cont(round(s.similarity, 3), 0.1), 6) AS p10,
+       round(quantile_cont(round(s.similarity, 3), 0.5), 6) AS p50,
+       round(quantile_cont(round(s.similarity, 3), 0.9), 6) AS p90
 FROM sims s, ths t GROUP BY s.label, t.threshold
 """)
 def q_gate_stats(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -158,8 +176,7 @@ def q_gate_stats(spark: SparkSession, data_dir: str) -> DataFrame:
     sims = dense_cosine(a.join(b, "vec_id"), "a", "b", "similarity").select("label", "similarity")
     st = gate_stats(sims, ["label"], _THS)
     return st.select("label", "threshold", "accepted", "rejected",
-                     F.round("acceptance_rate", 6).alias("acceptance_rate"),
-                     F.round("mean_sim", 6).alias("mean_sim"))
+                     *[F.round(c, 6).alias(c) for c in ("acceptance_rate", "mean_sim", "p10", "p50", "p90")])
 
 
 @query("pivot_compose", sql="""
@@ -167,8 +184,9 @@ WITH en_tl AS (
   SELECT DISTINCT u.text AS en, a.text AS tl FROM conversations u JOIN conversations a
     ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
 tl_rin AS (
-  SELECT DISTINCT a.text AS tl, u.text AS rin FROM conversations a JOIN conversations u
-    ON u.conv_id = a.conv_id AND u.turn = a.turn + 1 WHERE a.role = 'assistant' AND u.role = 'user')
+  SELECT a.text AS tl, min(u.text) AS rin FROM conversations a JOIN conversations u
+    ON u.conv_id = a.conv_id AND u.turn = a.turn + 1 WHERE a.role = 'assistant' AND u.role = 'user'
+  GROUP BY a.text)
 SELECT x.en, x.tl, y.rin FROM en_tl x JOIN tl_rin y ON x.tl = y.tl
 """)
 def q_pivot_compose(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -182,7 +200,7 @@ def q_pivot_compose(spark: SparkSession, data_dir: str) -> DataFrame:
 
 _PIVOT_SQL_PAIRS = """pairs AS (
   SELECT * FROM (
-    SELECT a.conv_id * 1000000 + a.turn AS pair_id, {sa} AS src, {su} AS tgt
+    SELECT a.conv_id || ':' || a.turn AS pair_id, {sa} AS src, {su} AS tgt
     FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn + 1
     WHERE a.role = 'assistant' AND u.role = 'user') t
   WHERE src IS NOT NULL AND tgt IS NOT NULL AND src <> '' AND tgt <> '')""".format(
@@ -259,6 +277,13 @@ def q_plugin_map(spark: SparkSession, data_dir: str) -> DataFrame:
                       F.col("_v")[1].cast("long").alias("n_chars"))
 
 
+@query("map_rows", sql="SELECT doc_id, length(text) AS n_chars FROM documents")
+def q_map_rows(spark: SparkSession, data_dir: str) -> DataFrame:
+    """A caller's function of one value, mapped over every document."""
+    docs = load_table(spark, data_dir, "documents")
+    return docs.select("doc_id", map_rows(len, T.LongType())("text").alias("n_chars"))
+
+
 _BULK_BODY = f"""{S.turn_pairs_cte()},
 {_FWD_SQL},
 {S.best_cte('best', _FWD)},
@@ -289,11 +314,11 @@ def q_bulk_translate(spark: SparkSession, data_dir: str) -> DataFrame:
     out = translate(lines, "en", lex, "tl", key="line_id")
     path = scratch_path(spark, "bulk")
     sink_tsv(out.select("line_id", "en", "tl"), path)
-    return scan_csv(spark, path, "line_id bigint, en string, tl string", sep="\t", na_values=())
+    return scan_csv(spark, path, "line_id string, en string, tl string", sep="\t", na_values=())
 
 
 @query("score_report", sql=f"""
-WITH {S.turn_pairs_cte()},
+WITH RECURSIVE {S.turn_pairs_cte()},
 split AS (
   SELECT pair_id, row_number() OVER (ORDER BY md5('{SEED}:' || CAST(pair_id AS VARCHAR)), pair_id)
                   <= ceil(CAST({TEST_SIZE} AS DOUBLE) * count(*) OVER ()) AS is_test
@@ -310,18 +335,21 @@ tall AS (
   SELECT 'direct', 'copy', pair_id, src, tgt FROM test),
 {S.bleu_ctes('b', 'tall', 'pair_id', 'hyp', 'ref', 'strategy, model')},
 {S.meteor_ctes('m', 'tall', 'pair_id', 'hyp', 'ref', 'strategy, model')},
-tall_k AS (SELECT strategy, model, pair_id, strategy || '/' || model || '/' || CAST(pair_id AS VARCHAR) AS k, hyp, ref FROM tall),
-rl AS (SELECT 1),
+tall_k AS (SELECT strategy, model, strategy || '/' || model || '/' || pair_id AS k, hyp, ref FROM tall),
+{S.lcs_ctes('r', 'tall_k', 'k', 'hyp', 'ref')},
 cnt AS (SELECT strategy, model, count(*) AS n_pairs FROM tall GROUP BY ALL),
-met AS (SELECT strategy, model, avg(meteor) AS meteor FROM m_sent GROUP BY ALL)
-SELECT c.strategy, c.model, c.n_pairs, round(b.bleu, 6) AS bleu, round(m.meteor, 6) AS meteor
+met AS (SELECT strategy, model, avg(meteor) AS meteor FROM m_sent GROUP BY ALL),
+rl AS (SELECT t.strategy, t.model, avg(s.rougeL) AS rougeL FROM r_sent s JOIN tall_k t ON t.k = s.k GROUP BY ALL)
+SELECT c.strategy, c.model, c.n_pairs, round(b.bleu, 6) AS bleu, round(m.meteor, 6) AS meteor,
+       round(r.rougeL, 6) AS rougeL
 FROM cnt c JOIN b ON b.strategy = c.strategy AND b.model = c.model
 JOIN met m ON m.strategy = c.strategy AND m.model = c.model
+JOIN rl r ON r.strategy = c.strategy AND r.model = c.model
 """)
 def q_score_report(spark: SparkSession, data_dir: str) -> DataFrame:
     """Evaluation of the held-out split: lexicon learned on the train split,
-    test sources translated; compared with copying the source; BLEU and
-    METEOR per (strategy, model)."""
+    test sources translated; compared with copying the source; BLEU, METEOR
+    and ROUGE-L per (strategy, model)."""
     pairs = pairs_of(spark, data_dir).select("pair_id", "src", "tgt")
     split = split_exact(pairs, "pair_id", TEST_SIZE, SEED)
     train = split.where(F.col("split") == "train")
@@ -332,6 +360,5 @@ def q_score_report(spark: SparkSession, data_dir: str) -> DataFrame:
                        F.col("tgt").alias("ref"))
             .unionByName(test.select(F.lit("direct").alias("strategy"), F.lit("copy").alias("model"), "pair_id",
                                      F.col("src").alias("hyp"), F.col("tgt").alias("ref"))))
-    rep = M.score_report(tall, "pair_id", "hyp", "ref", ["strategy", "model"], ["bleu", "meteor"])
-    return rep.select("strategy", "model", "n_pairs", F.round("bleu", 6).alias("bleu"),
-                      F.round("meteor", 6).alias("meteor"))
+    rep = M.score_report(tall, "pair_id", "hyp", "ref", ["strategy", "model"], ["bleu", "meteor", "rougeL"])
+    return rep.select("strategy", "model", "n_pairs", *[F.round(c, 6).alias(c) for c in ("bleu", "meteor", "rougeL")])

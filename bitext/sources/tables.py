@@ -9,22 +9,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that has fewer splits than the cluster has cores.
-
-    Text work (regexes, tokenization, explodes) is CPU-bound per row; a small
-    file read as one split would run it in one task.  A large input already
-    has at least as many splits as cores, and is returned unchanged, so this
-    adds a shuffle only where the data is small.
-    """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
-
-
-def load_table(spark: SparkSession, data_dir: str, name: str, balance: bool = True) -> DataFrame:
-    """Lazy parquet scan (column pruning and filter pushdown are left to
-    Catalyst); with ``balance``, a scan with too few splits is spread."""
-    df = spark.read.parquet(f"{data_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if balance else df
+def load_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
+    """Lazy parquet scan; column pruning and filter pushdown are Catalyst's,
+    the size of a split is the session's (``spark.sql.files.*``)."""
+    return spark.read.parquet(f"{data_dir.rstrip('/')}/{name}.parquet")

@@ -123,7 +123,13 @@ def test_pivot_dedupe_and_augment(spark):
     en_tl = spark.createDataFrame([("e1", "t1"), ("e1", "t1"), ("e2", "t1")], "en string, tl string")
     tl_rin = spark.createDataFrame([("t1", "r1"), ("t1", "r1")], "tl string, rin string")
     assert compose_pivot(en_tl, tl_rin).count() == 2
-    assert compose_pivot(en_tl, tl_rin, dedupe=False).count() == 6
+    # one target per pivot: a hot pivot does not multiply
+    hot_en = spark.range(200).selectExpr("concat('e', id) AS en", "'ok' AS tl")
+    hot_rin = spark.range(200).selectExpr("'ok' AS tl", "concat('r', id) AS rin",
+                                          "if(id = 7, double('NaN'), if(id = 5, 0.9D, if(id = 3, null, 0.1D))) AS similarity")
+    rows = compose_pivot(hot_en, hot_rin).collect()
+    assert len(rows) == 200 and {r["rin"] for r in rows} == {"r5"}
+    assert {r["rin"] for r in compose_pivot(hot_en, hot_rin.drop("similarity")).collect()} == {"r0"}
     real = spark.createDataFrame([(1, "a", "b")], "id long, src string, tgt string")
     syn = spark.createDataFrame([(2, "c", "d", 0.9), (3, "e", "", 0.1), (4, "g", "h", 0.95)],
                                 "id long, src string, tgt string, similarity double")
