@@ -3,12 +3,15 @@
 1. Words of benchmark passages are the terms.  Every document becomes its
    sequence of term numbers (-1: another word), written once.
 2. Terms are weighted by their inverse frequency over all passages of all
-   documents; terms in more than MAX_DF of them weigh nothing.
+   documents; no term weighs nothing, however frequent.
 3. A randomised SVD of the benchmark's TF-IDF passages (a range finder with a
    power step, each product A'(A x) one Spark job over the passages) gives the
    latent space.
 4. Overlapping passages of every document are projected into it, and their
    cosines with all benchmark items taken as one matrix product a block.
+   Places that share enough runs of SEED words with an item are candidates too,
+   whatever their cosine: if COVERAGE of an item stands in a text in order, with
+   the other words replaced or left out, they share at least that many runs.
 5. Candidates are checked on words: the longest common subsequence must cover
    COVERAGE of the item, or PARAPHRASE of it when the item's answer (its last
    words) also stands in the passage word for word.
@@ -36,7 +39,6 @@ from .registry import query, table
 #: Words of half a passage; passages overlap by one half.
 HALF = 32
 RANK, OVERSAMPLE = 256, 16
-MAX_DF = 0.05
 MIN_COSINE = 0.4
 MIN_WORDS = 8
 COVERAGE, PARAPHRASE = 0.8, 0.6
@@ -44,6 +46,8 @@ ANSWER_SHARE = 0.25
 BLOCK_CHARS = 4_000_000
 #: Words that a task projects at a time.
 SLICE_WORDS = 8192
+#: Words of a run that is looked up, and runs found that a task holds at a time.
+SEED, SEED_HITS = 3, 1 << 20
 
 LEAK = "doc_id long, item_id long, cosine double, lcs long, coverage double, answer boolean, first_word long, end_word long"
 
@@ -166,6 +170,64 @@ def lcs(masks: dict[int, int], n: int, seq) -> int:
     return n - v.bit_count()
 
 
+def _runs(ids: np.ndarray, at: np.ndarray, n_terms: int) -> np.ndarray:
+    """A number for the SEED terms from each place ``at`` on; numbers of other
+    runs are equal only if n_terms ** SEED exceeds 64 bits."""
+    code = np.zeros(len(at), np.uint64)
+    for i in range(SEED):
+        code = code * np.uint64(n_terms) + ids[at + i].astype(np.uint64)
+    return code
+
+
+def seed_index(items, n_terms: int, coverage: float):
+    """(runs, sorted; keys run x item, sorted; runs that a copy of each item
+    shares with it at least, if ``coverage`` of its words stand in order)."""
+    runs = [np.unique(_runs(ids, np.arange(len(ids) - SEED + 1), n_terms)) for _, ids in items]
+    owner = np.repeat(np.arange(len(items)), [len(r) for r in runs])
+    flat, rank = np.unique(np.concatenate(runs), return_inverse=True)
+    n = np.array([len(ids) for _, ids in items])
+    lost = np.floor(n - coverage * n + 1e-9).astype(np.int64)
+    return flat, np.sort(rank * len(items) + owner), np.maximum(n - lost - (SEED - 1) * (lost + 1), 1)
+
+
+def seeded(group, base, items, index, n_terms: int, most_hits: int = SEED_HITS):
+    """Arrays (passage, item) of the places in some documents that share enough
+    runs with an item; ``base``: number of each document's first passage."""
+    flat, keys, need = index
+    ids = np.concatenate([v for _, v in group])
+    sizes = [len(v) for _, v in group]
+    doc, begin = np.repeat(np.arange(len(group)), sizes), np.concatenate(([0], np.cumsum(sizes)))
+    known = ids >= 0
+    known[max(0, len(known) - SEED + 1):] = False
+    for i in range(1, SEED):
+        known[:-i] &= (ids[i:] >= 0) & (doc[i:] == doc[:-i])
+    at = np.flatnonzero(known)
+    code = _runs(ids, at, n_terms)
+    rank = np.minimum(np.searchsorted(flat, code), len(flat) - 1)
+    at, rank = at[flat[rank] == code], rank[flat[rank] == code]
+    n_items, length = len(items), np.array([len(v) for _, v in items])
+    total = int((np.searchsorted(keys, (rank + 1) * n_items) - np.searchsorted(keys, rank * n_items)).sum())
+    parts = max(1, -(-total // most_hits))
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for part in range(parts):  # ranges of items
+        a, b = part * n_items // parts, (part + 1) * n_items // parts
+        lo, hi = np.searchsorted(keys, rank * n_items + a), np.searchsorted(keys, rank * n_items + b)
+        count = hi - lo
+        post = np.arange(count.sum()) + np.repeat(lo - np.cumsum(count) + count, count)
+        item, place = keys[post] % n_items, np.repeat(at, count)
+        order = np.lexsort((place, item))
+        item, place = item[order], place[order]
+        last = np.arange(len(item)) + need[item] - 1
+        first = np.flatnonzero(last < len(item))
+        last = last[first]
+        one = (item[first] == item[last]) & (doc[place[first]] == doc[place[last]])
+        one &= place[last] - place[first] <= length[item[first]] + 2 * HALF
+        first = first[one]
+        d = doc[place[first]]
+        out.append((base[d] + (place[first] - begin[d]) // HALF, item[first]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def _holds(part: np.ndarray, answer: np.ndarray) -> bool:
     n = len(answer)
     if not n or len(part) < n:
@@ -175,7 +237,7 @@ def _holds(part: np.ndarray, answer: np.ndarray) -> bool:
 
 def _search(model, coverage: float, paraphrase: float, min_cosine: float):
     def run(batches):
-        project, items, targets = model.value  # terms x rank; (id, ids); items x rank
+        project, items, targets, index = model.value  # terms x rank; (id, ids); items x rank; runs of items
         here = np.zeros(len(project) + 1, bool)  # the last place is that of other words (-1)
         masks = []
         for _, ids in items:
@@ -227,13 +289,21 @@ def _search(model, coverage: float, paraphrase: float, min_cosine: float):
             some = np.flatnonzero(norm > 1e-6)
             cosine = both[some] @ targets.T / norm[some, None]
             w, j = np.nonzero(cosine >= min_cosine)
-            doc = np.searchsorted(base, some[w], "right") - 1
+            row, item = seeded(group, base, items, index, len(project))
+            found = np.unique(np.concatenate((some[w] * len(items) + j, row * len(items) + item)))
+            row, item = found // len(items), found % len(items)
+            at = np.minimum(np.searchsorted(some, row), max(len(some) - 1, 0))
+            cosine = np.where(some[at] == row, cosine[at, item], 0.0) if len(some) else np.zeros(len(row))
+            doc = np.searchsorted(base, row, "right") - 1
             best: dict[tuple[int, int], tuple] = {}
-            for k in range(len(w)):
-                d = int(doc[k])
-                hit = check(group[d][1], int(j[k]), int(some[w[k]] - base[d]), float(cosine[w[k], j[k]]))
-                if hit and (old := best.get((d, int(j[k])))) is None or hit and (hit[2], hit[1]) > (old[2], old[1]):
-                    best[d, int(j[k])] = hit
+            for k in np.lexsort((row, -cosine, item, doc)).tolist():  # best cosine first
+                d, j = int(doc[k]), int(item[k])
+                old = best.get((d, j))
+                if old and old[2] == len(items[j][1]):
+                    continue  # whole already
+                hit = check(group[d][1], j, int(row[k] - base[d]), float(cosine[k]))
+                if hit and (old is None or (hit[2], hit[1]) > (old[2], old[1])):
+                    best[d, j] = hit
             for (d, _), hit in best.items():
                 yield group[d][0], hit
 
@@ -273,13 +343,13 @@ def _block_leaks(docs: DataFrame, bench: DataFrame, rank: int, coverage: float,
     n = counts.pop(-1, 0)
     df = np.zeros(len(vocab))
     df[list(counts)] = list(counts.values())
-    weight = np.where(df > max(MAX_DF * n, 20), 0.0, np.log((n + 1) / (df + 1)) + 1.0)
+    weight = np.log((n + 1) / (df + 1)) + 1.0
 
     basis = latent_space(passages, weight, sum(max(1, -(-len(i) // HALF)) for _, i in items), rank)
     project = (weight[:, None] * basis).astype(np.float32)
     targets = np.array([project[i].sum(axis=0) for _, i in items])
     targets /= np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-12)
-    model = sc.broadcast((project, items, targets))
+    model = sc.broadcast((project, items, targets, seed_index(items, len(vocab), coverage)))
     return numbered.mapInArrow(_search(model, coverage, paraphrase, min_cosine), LEAK)
 
 

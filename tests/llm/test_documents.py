@@ -171,6 +171,46 @@ def test_leaks(spark, frame):
     assert lsa_decontam.find_leaks(frame([]), bench).count() == 0
 
 
+def test_leaks_of_frequent_words(spark, frame):
+    rng = random.Random(14)
+    items = [(i, text(rng, 40, 5000)) for i in range(10)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(i, text(rng, 200, 5000)) for i in range(100, 160)]
+    hot = text(rng, 80, 5000) + " " + items[0][1] + " " + text(rng, 80, 5000)
+    docs += [(1000 + i, hot) for i in range(100)]  # every word of item 0 is in a tenth of the passages
+    docs += [(10, text(rng, 90, 5000) + " " + items[0][1] + " " + text(rng, 70, 5000))]
+    cut = items[0][1].split()
+    del cut[4::5]  # 32 of 40 words
+    docs += [(11, text(rng, 50, 5000) + " " + " ".join(cut) + " " + text(rng, 70, 5000))]
+    found = lsa_decontam.find_leaks(frame(docs), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(d, 0) for d in [10, 11, *range(1000, 1100)]}
+
+
+def test_seeds_find_every_cut_copy():
+    rng = np.random.default_rng(15)
+    items = [(i, rng.integers(0, 400, int(rng.integers(8, 300)), np.int32)) for i in range(60)]
+    index = lsa_decontam.seed_index(items, 400, 0.8)
+    group, want = [], []
+    for i, (_, ids) in enumerate(items):
+        ids = ids.copy()
+        gone = rng.permutation(len(ids))[: len(ids) - math.ceil(0.8 * len(ids))]
+        if i % 2:
+            ids[gone] = -1
+        else:
+            ids = np.delete(ids, gone)
+        before = rng.integers(-1, 400, int(rng.integers(0, 200)), np.int32)
+        group.append((i, np.concatenate((before, ids, rng.integers(-1, 400, 90, np.int32)))))
+        want.append(len(before))
+    halves = [max(1, -(-len(v) // lsa_decontam.HALF)) for _, v in group]
+    base = np.concatenate(([0], np.cumsum(halves)))
+    found = set(zip(*(c.tolist() for c in lsa_decontam.seeded(group, base, items, index, 400))))
+    for i, (_, ids) in enumerate(items):
+        places = [p - base[i] for p, item in found if item == i and base[i] <= p < base[i + 1]]
+        assert any(abs(p * lsa_decontam.HALF - want[i]) <= len(ids) + lsa_decontam.HALF for p in places)
+    few = lsa_decontam.seeded(group, base, items, index, 400, most_hits=50)
+    assert found == set(zip(*(c.tolist() for c in few)))
+
+
 def test_lcs():
     rng = random.Random(5)
     for _ in range(50):
