@@ -8,7 +8,8 @@
    power step, each product A'(A x) one Spark job over the passages) gives the
    latent space.
 4. Overlapping passages of every document are projected into it, and their
-   cosines with all benchmark items taken as one matrix product a block.
+   cosines with the passages of all benchmark items (cut in the same way) taken
+   as one matrix product a block; an item has the cosine of its best passage.
    Places that share enough runs of SEED words with an item are candidates too,
    whatever their cosine: if COVERAGE of an item stands in a text in order, with
    the other words replaced or left out, they share at least that many runs.
@@ -95,6 +96,11 @@ def _frequencies(n_terms: int):
     return run
 
 
+def _cuts(ids: np.ndarray) -> list[np.ndarray]:
+    """The overlapping passages of a text."""
+    return [ids[s: s + 2 * HALF] for s in range(0, max(len(ids) - HALF, 1), HALF)]
+
+
 def _products(model):
     """Partial A'(A x) over this task's passages, as rows (term, vector)."""
     def run(batches):
@@ -102,8 +108,8 @@ def _products(model):
         total = np.zeros_like(x)
         for batch in batches:
             for _, ids in _sequences(batch):
-                for s in range(0, max(len(ids) - HALF, 1), HALF):
-                    terms, tf = np.unique(ids[s: s + 2 * HALF], return_counts=True)
+                for cut in _cuts(ids):
+                    terms, tf = np.unique(cut, return_counts=True)
                     keep = terms >= 0
                     terms, row = terms[keep], (tf[keep] * weight[terms[keep]])
                     row /= max(np.linalg.norm(row), 1e-12)
@@ -237,7 +243,8 @@ def _holds(part: np.ndarray, answer: np.ndarray) -> bool:
 
 def _search(model, coverage: float, paraphrase: float, min_cosine: float):
     def run(batches):
-        project, items, targets, index = model.value  # terms x rank; (id, ids); items x rank; runs of items
+        project, items, targets, index = model.value  # terms x rank; (id, ids); their passages x rank; runs of items
+        first_cut = np.cumsum([0] + [len(_cuts(ids)) for _, ids in items])[:-1]
         here = np.zeros(len(project) + 1, bool)  # the last place is that of other words (-1)
         masks = []
         for _, ids in items:
@@ -288,6 +295,8 @@ def _search(model, coverage: float, paraphrase: float, min_cosine: float):
             norm = np.linalg.norm(both, axis=1)
             some = np.flatnonzero(norm > 1e-6)
             cosine = both[some] @ targets.T / norm[some, None]
+            if len(targets) > len(items):
+                cosine = np.maximum.reduceat(cosine, first_cut, axis=1)
             w, j = np.nonzero(cosine >= min_cosine)
             row, item = seeded(group, base, items, index, len(project))
             found = np.unique(np.concatenate((some[w] * len(items) + j, row * len(items) + item)))
@@ -347,7 +356,7 @@ def _block_leaks(docs: DataFrame, bench: DataFrame, rank: int, coverage: float,
 
     basis = latent_space(passages, weight, sum(max(1, -(-len(i) // HALF)) for _, i in items), rank)
     project = (weight[:, None] * basis).astype(np.float32)
-    targets = np.array([project[i].sum(axis=0) for _, i in items])
+    targets = np.array([project[cut].sum(axis=0) for _, i in items for cut in _cuts(i)])
     targets /= np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-12)
     model = sc.broadcast((project, items, targets, seed_index(items, len(vocab), coverage)))
     return numbered.mapInArrow(_search(model, coverage, paraphrase, min_cosine), LEAK)

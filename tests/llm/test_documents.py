@@ -186,6 +186,47 @@ def test_leaks_of_frequent_words(spark, frame):
     assert {(r.doc_id, r.item_id) for r in found} == {(d, 0) for d in [10, 11, *range(1000, 1100)]}
 
 
+def test_recall_against_brute_force(spark, frame, monkeypatch):
+    """The cosine search alone, more items than RANK, short and long ones."""
+    rng = random.Random(16)
+    sizes = [rng.randrange(15, 60) for _ in range(280)] + [rng.randrange(1000, 3000) for _ in range(20)]
+    items = [(i, text(rng, n, 5000)) for i, n in enumerate(sizes)]
+    assert len(items) > lsa_decontam.RANK
+    docs = [(i, text(rng, 200, 5000)) for i in range(1000, 1100)]
+    for i, t in items[::10] + items[-20:]:
+        docs.append((2000 + i, text(rng, rng.randrange(200), 5000) + " " + t + " " + text(rng, 90, 5000)))
+        w = t.split()
+        for j in rng.sample(range(len(w)), len(w) // 6):
+            w[j] = f"w{rng.randrange(5000)}"
+        docs.append((5000 + i, text(rng, rng.randrange(200), 5000) + " " + " ".join(w) + " " + text(rng, 90, 5000)))
+    words = {i: t.split() for i, t in items}
+    brute = set()
+    for d, t in docs:
+        seq = t.split()
+        for i, w in words.items():
+            if len(set(w) & set(seq)) < 0.5 * len(set(w)):
+                continue
+            masks = {}
+            for k, x in enumerate(w):
+                masks[x] = masks.get(x, 0) | 1 << k
+            if lsa_decontam.lcs(masks, len(w), seq) >= 0.8 * len(w):
+                brute.add((d, i))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = {(r.doc_id, r.item_id) for r in lsa_decontam.find_leaks(frame(docs), bench).collect()}
+    assert brute and brute <= whole
+    monkeypatch.setattr(lsa_decontam, "seed_index", no_seeds)
+    found = {(r.doc_id, r.item_id) for r in lsa_decontam.find_leaks(frame(docs), bench).collect()}
+    for long in (False, True):
+        part = {(d, i) for d, i in brute if (sizes[i] >= 1000) == long}
+        print("cosine recall, long items" if long else "cosine recall, short items", len(part & found), len(part))
+        assert len(part & found) >= 0.9 * len(part)
+
+
+def no_seeds(items, n_terms, coverage):
+    """An index in which no item has runs."""
+    return np.array([n_terms ** lsa_decontam.SEED], np.uint64), np.zeros(0, np.int64), np.ones(len(items), np.int64)
+
+
 def test_seeds_find_every_cut_copy():
     rng = np.random.default_rng(15)
     items = [(i, rng.integers(0, 400, int(rng.integers(8, 300)), np.int32)) for i in range(60)]
