@@ -8,8 +8,10 @@ propose candidates, the bitmaps thin them, and full sets decide.
 
 Work stays linear where copies pile up: equal sets collapse to one class
 before banding; a bucket's members are first compared with the bucket's leader
-only; members that this leaves in other components are then compared with the
-rest of their buckets, in blocks.  For these, a second bitmap folds the whole
+only; members that this leaves in other components (seekers) are then compared
+with the rest of their buckets, in tiles of two blocks: seekers with seekers
+and seekers with the main component.  That is quadratic in a bucket's seekers,
+but no task gets more than a tile.  For these, a second bitmap folds the whole
 set: its XOR has at most as many bits as the sets differ in, so it drops a pair
 only if the similarity is surely too low, and what it lets through is seldom
 dropped later.  Only such pairs are written.  No bucket is capped.  A pair with the wanted similarity s shares
@@ -41,8 +43,10 @@ SKETCH_BITS = 512
 WHOLE_BITS = 2048
 #: How far below the wanted similarity the bitmap's estimate may lie.
 SKETCH_SLACK = 0.13
-#: Rows of a bucket's largest component that one task compares with the rest.
+#: Rows of a block; a task compares a block with itself or with another.
 BLOCK_ROWS = 20_000
+#: A tile's number is its lower block times TILE plus its higher block.
+TILE = 1 << 31
 
 _SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, odd array<long>"
 
@@ -148,27 +152,30 @@ def _confirm(num: int, den: int):
 
 
 def _rest(most_bits: int, num: int, den: int):
-    """Pairs across components of each (key, block) that the bitmaps allow.
+    """Pairs across components of each (key, tile) that the bitmaps allow.
     Only rows outside the bucket's main component search; a pair is written in
     the first band that it shares; pairs with the leader are known already."""
-    def pairs(key, block, rows):
+    def pairs(key, tile, rows):
         node, comp = rows["node"].to_numpy(), rows["component"].to_numpy()
         main, lead = (rows[c].to_numpy(zero_copy_only=False) for c in ("main", "lead"))
-        size = rows["n_shingles"].to_numpy()
+        size, block = rows["n_shingles"].to_numpy(), rows["block"].to_numpy()
         flat = lambda c: rows[c].combine_chunks().flatten().to_numpy()
         odd = flat("odd").view(np.uint64).reshape(len(node), -1)
         keys = flat("keys").reshape(len(node), -1)
         whole = np.frombuffer(b"".join(rows["whole"].to_pylist()), np.uint64).reshape(len(node), -1)
-        seekers = np.flatnonzero(~main & ~lead)
+        low, high = divmod(tile, TILE)
+        seekers = np.flatnonzero(~main & (block == low))
+        others = np.flatnonzero(~lead & (main | (block == high)))
         for at in range(0, len(seekers), 32):
             some = seekers[at: at + 32]
-            ok = np.bitwise_count(odd[some][:, None, :] ^ odd[None, :, :]).sum(-1) <= most_bits
-            ok &= (comp[some][:, None] != comp[None, :]) & ~lead[None, :]
-            small, large = np.minimum(size[some][:, None], size[None, :]), np.maximum(size[some][:, None], size[None, :])
-            ok &= den * small >= num * large
-            ok &= main[None, :] | ((block == 0) & (node[some][:, None] < node[None, :]))
+            ok = np.bitwise_count(odd[some][:, None, :] ^ odd[others][None, :, :]).sum(-1) <= most_bits
+            ok &= comp[some][:, None] != comp[others][None, :]
+            x, y = size[some][:, None], size[others][None, :]
+            ok &= den * np.minimum(x, y) >= num * np.maximum(x, y)
+            if low == high:  # each pair of seekers once
+                ok &= main[others][None, :] | (node[some][:, None] < node[others][None, :])
             i, j = np.nonzero(ok)
-            i = some[i]
+            i, j = some[i], others[j]
             differ = np.zeros(len(i), np.int64)
             for lo in range(0, len(i), 65536):
                 hi = lo + 65536
@@ -183,7 +190,7 @@ def _rest(most_bits: int, num: int, den: int):
         held, at = [], None
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            k, s = t["key"].to_numpy(), t["block"].to_numpy()
+            k, s = t["key"].to_numpy(), t["tile"].to_numpy()
             cuts = np.flatnonzero((k[1:] != k[:-1]) | (s[1:] != s[:-1])) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(k)]):
                 if lo == hi:
@@ -243,17 +250,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     joined = member.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     leads = joined.filter("node = lead").select("key", F.col("component").alias("main_component"))
-    mixed = (joined.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"),
-                                       F.count(F.lit(1)).alias("n")).filter("x != y").select("key", "n"))
-    blocks = F.ceil(F.col("n") / block_rows).cast("int")
-    rest = (joined.join(mixed, "key").join(leads, "key")
-            .withColumn("main", F.col("component") == F.col("main_component"))
-            .withColumn("block", F.explode(F.when(F.col("main"), F.array(F.pmod(F.hash("node"), blocks)))
-                                           .otherwise(F.sequence(F.lit(0), blocks - 1))))
+    seeks = F.col("component") != F.col("main_component")
+    mixed = (joined.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).join(leads, "key")
+             .groupBy("key", "main_component").agg(F.sum("n").alias("n"), F.sum(F.when(seeks, F.col("n")).otherwise(0)).alias("seekers"))
+             .filter("seekers > 0").select(
+                 "key", "main_component", F.ceil(F.col("seekers") / block_rows).alias("sb"),
+                 F.when(F.col("n") <= block_rows, 0).otherwise(F.ceil((F.col("n") - F.col("seekers")) / block_rows)).alias("mb")))
+    # Seekers have the blocks 0 to sb - 1, the main component the next mb, or the one block of a small bucket.
+    deal = F.hash("node").cast("long")
+    rest = (joined.join(mixed, "key").withColumn("main", ~seeks)
+            .withColumn("block", F.when(~F.col("main"), F.pmod(deal, F.col("sb"))).when(F.col("mb") == 0, F.lit(0))
+                        .otherwise(F.col("sb") + F.pmod(deal, F.greatest("mb", F.lit(1)))).cast("long"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("main"), F.col("sb") - 1)
+                                                      .otherwise(F.col("sb") + F.col("mb") - 1).cast("long"))))
+            .withColumn("tile", F.least("block", "other") * F.lit(TILE) + F.greatest("block", "other"))
             .join(classes.select("node", "n_shingles", "odd", "keys"), "node").join(sets.select("node", "whole"), "node")
-            .select("key", "block", "node", "component", "main", (F.col("node") == F.col("lead")).alias("lead"),
+            .select("key", "tile", "block", "node", "component", "main", (F.col("node") == F.col("lead")).alias("lead"),
                     "n_shingles", "odd", "keys", "whole")
-            .repartition("key", "block").sortWithinPartitions("key", "block"))
+            .repartition("key", "tile").sortWithinPartitions("key", "tile"))
     more = confirmed(rest.mapInArrow(_rest(most_bits, num, den), "a long, b long"))
     if more.limit(1).count():
         labels = components(links.unionByName(more))

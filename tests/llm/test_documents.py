@@ -113,6 +113,40 @@ def test_near_duplicates_equal_brute_force(frame, k, block_rows):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
+def test_no_task_gets_all_of_a_bucket(frame, monkeypatch, tmp_path):
+    rng = random.Random(17)
+    base, rows = text(rng, 200).split(), []
+    for i in range(400):  # pages of one template, similarity about 0.7; every tenth has a near copy
+        w = list(base)
+        for j in rng.sample(range(200), 9):
+            w[j] = f"p{i}x{j}"
+        rows.append((i, " ".join(w)))
+        if i % 10 == 0:
+            w[rng.randrange(200)] = "edit"
+            rows.append((1000 + i, " ".join(w)))
+    real = odd_sketch._rest
+
+    def counting(*args):
+        inner, folder = real(*args), str(tmp_path)
+
+        def run(batches):
+            held = list(batches)
+            often = Counter()
+            for b in held:
+                often.update(zip(*(b.column(c).to_pylist() for c in ("key", "tile" if "tile" in b.schema.names else "block"))))
+            if often:
+                with open(f"{folder}/{random.SystemRandom().random()}", "w") as out:
+                    out.write(str(max(often.values())))
+            yield from inner(iter(held))
+        return run
+
+    monkeypatch.setattr(odd_sketch, "_rest", counting)
+    out = odd_sketch.near_duplicates(frame(rows), words=2, block_rows=20).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_groups(rows, 2)
+    most = max(int(f.read_text()) for f in tmp_path.iterdir())
+    assert 20 < most <= 80, most  # two blocks of about 20 rows
+
+
 def test_near_duplicates_empty(frame):
     assert odd_sketch.near_duplicates(frame([])).count() == 0
     assert odd_sketch.near_duplicates(frame([(1, None), (2, "")])).count() == 2
