@@ -42,7 +42,7 @@ SKETCH_BITS = 512
 #: Bits of the parity bitmap over a whole set.
 WHOLE_BITS = 2048
 #: How far below the wanted similarity the bitmap's estimate may lie.
-SKETCH_SLACK = 0.13
+SKETCH_SLACK = 0.2
 #: Rows of a block; a task compares a block with itself or with another.
 BLOCK_ROWS = 20_000
 #: A tile's number is its lower block times TILE plus its higher block.

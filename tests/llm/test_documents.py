@@ -147,6 +147,14 @@ def test_no_task_gets_all_of_a_bucket(frame, monkeypatch, tmp_path):
     assert 20 < most <= 80, most  # two blocks of about 20 rows
 
 
+def test_bitmap_seldom_drops_a_link():
+    rng, k, bits, n = np.random.default_rng(18), odd_sketch.BANDS * odd_sketch.ROWS, odd_sketch.SKETCH_BITS, 100_000
+    most_bits = int(bits / 2 * (1 - math.exp(-4 * k * (1 - (0.8 - odd_sketch.SKETCH_SLACK)) / bits)))
+    flips = np.repeat(np.arange(n), 2 * rng.binomial(k, 0.2, n)) * bits  # each minimum that differs flips two bits
+    odd = np.bincount(flips + rng.integers(0, bits, len(flips)), minlength=n * bits).reshape(n, bits) & 1
+    assert (odd.sum(axis=1) > most_bits).sum() <= 3
+
+
 def test_near_duplicates_empty(frame):
     assert odd_sketch.near_duplicates(frame([])).count() == 0
     assert odd_sketch.near_duplicates(frame([(1, None), (2, "")])).count() == 2
