@@ -10,6 +10,7 @@ from . import (  # noqa: F401
     odd_sketch,
     pairwise_quality,
     risk_rules,
+    rns_negatives,
     string_kernel,
 )
 from .registry import ORACLE_SQL, QUERIES
