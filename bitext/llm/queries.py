@@ -5,6 +5,7 @@ from . import (  # noqa: F401
     column_bwt,
     es_mixing,
     license_scan,
+    line_hash,
     lsa_decontam,
     maglev,
     odd_sketch,
