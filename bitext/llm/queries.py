@@ -10,6 +10,7 @@ from . import (  # noqa: F401
     maglev,
     odd_sketch,
     pairwise_quality,
+    phrase_counts,
     risk_rules,
     rns_negatives,
     string_kernel,

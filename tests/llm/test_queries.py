@@ -9,7 +9,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == [*range(1, 13)]
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == [*range(1, 14)]
     assert {*queries.QUERIES, "pipeline"} <= set(entry.queries())
 
 
