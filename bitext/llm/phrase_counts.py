@@ -20,13 +20,14 @@ cleared, so a phrase is in its cycle just if its two parts pass the bitmap of
 now and did not both pass the one a cycle ago, and the bitmaps between tell
 since when; no state a phrase is needed.
 A part that passes by chance only lets a phrase be counted too early; it still
-is counted for one full cycle.  Counts of a step are combined in the task and
-in Spark's partial sums before they are shuffled by hash, so a phrase of every
-document is one row a task.
+is counted for one full cycle.  Counts are combined in the task before they are
+shuffled, so a phrase of every document is one row a task.
 
-A hash of 64 bits can join two phrases.  So a last scan counts the phrases found
-frequent once more as text, and what follows (cuts, scores, phrases inside
-longer ones, ranks) runs on these exact counts, with decimals of 38 digits.
+A phrase is known by the hashes of its words but the last and of the last word,
+64 bits each.  Frequent words are spelled in a last scan, each from one document
+that was kept with its count; longer phrases from their two parts.  What
+follows (cuts, scores, phrases inside longer ones, ranks) runs on these counts
+with decimals of 38 digits.
 
 Cases: null texts are empty; a null lang is ``und`` (and one with it); repeated
 rows count again; texts without words, and pieces shorter than a phrase, add
@@ -63,6 +64,12 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.zeros(0, np.uint64)
 
 
+def phrase_hash(head: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of a phrase from that of its words but the last and of the last; a
+    word (head 0) keeps its own."""
+    return np.where(head == 0, last, tk.mix64(head * _MIX ^ last))
+
+
 class Words:
     """Words of texts in one byte array: place, hash (with the language's) and
     whether the next word follows in the same piece."""
@@ -75,25 +82,24 @@ class Words:
         piece = np.cumsum(_CUT[self.data])[self.start] if len(self.start) else _NONE
         self.glued = (piece[1:] == piece[:-1]) & (self.row[1:] == self.row[:-1])
 
-    def phrases(self, longest: int, known):
-        """For each length the first words and hashes of the phrases to look at,
-        and the hashes without last and without first word.  ``known`` tells
-        which hashes may be part of a longer phrase.  The lowest bit marks the longest."""
-        at, h = np.arange(len(self.hash)), self.hash & ~np.uint64(1)
-        yield 1, at, h, None, None
-        full = np.zeros(len(self.hash), np.uint64)
+    def phrases(self, longest: int, known, older):
+        """For each length over 1 the phrases whose parts are ``known``: hash,
+        hashes of all but the last word and of the last, and how many of the
+        bitmaps before (``older``, newest first) they were reached with."""
+        h, at = self.hash, np.arange(len(self.hash))
+        full, reach = np.zeros(len(h), np.uint64), np.zeros(len(h), np.int32)
+        age = np.full(len(h), len(older), np.int32)
         for k in range(2, longest + 1):
             good = known(h)
-            at, h = at[good], h[good]
+            at, h, age = at[good], h[good], age[good]
             here = np.zeros(len(self.hash), bool)
             here[at] = True
-            full[at] = h
-            i = at[at + k - 1 < len(self.hash)]
-            i = i[self.glued[i + k - 2] & here[i + 1]]
-            head, tail = full[i], full[i + 1]
-            at, h = i, tk.mix64(head * _MIX ^ (self.hash[i + k - 1] + np.uint64(k)))
-            h = h | np.uint64(1) if k == longest else h & ~np.uint64(1)
-            yield k, at, h, head, tail
+            full[at], reach[at] = h, np.minimum(age, sum((m(h).astype(np.int32) for m in older), np.zeros(len(h), np.int32)))
+            at = at[at + k - 1 < len(self.hash)]
+            at = at[self.glued[at + k - 2] & here[at + 1]]
+            head, last, age = full[at], self.hash[at + k - 1], np.minimum(reach[at], reach[at + 1])
+            h = phrase_hash(head, last)
+            yield k, h, head, last, age
 
 
 class Bitmap:
@@ -101,139 +107,154 @@ class Bitmap:
         self.words = words
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
-        at = h >> np.uint64(1) & np.uint64(64 * len(self.words) - 1)
+        at = h & np.uint64(64 * len(self.words) - 1)
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
 def _texts(batch):
-    """Slices of a batch: (Words, first row, rows)."""
+    """Slices of a batch: (Words, first row, end)."""
     data, off = tk.flat_utf8(batch.column("text"))
     seeds = batch.column("seed").to_numpy().view(np.uint64)
     for lo, hi in tk.slices(off, 1 << 20):
         yield Words(data[off[lo]: off[hi]], off[lo: hi + 1] - off[lo], seeds[lo:hi]), lo, hi
 
 
-def _count(longest: int, step: int, cycle: int, maps: list):
-    """(seed, text) -> counts of the active phrases' hashes, and the step each
-    became active.  ``maps``: broadcast bitmaps of this step, the one before,
-    and so on to a cycle ago; what passes them all has had its cycle."""
-    schema = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("since", pa.int32())])
+_COUNT = pa.schema([("head", pa.int64()), ("last", pa.int64()), ("n", pa.int64()), ("since", pa.int32()), ("k", pa.int32()),
+                    ("doc", pa.int64())])
+_COUNT_SQL = "head long, last long, n long, since int, k int, doc long"
 
-    def packed(held, since):
-        h, first, n = np.unique(np.concatenate(held), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(np.concatenate(since)[first])], schema=schema)
+
+def _count(longest: int, step: int, cycle: int, maps: list):
+    """(doc, seed, text) -> counts of the active phrases, the step each became
+    active, and a document of each word.  ``maps``: broadcast bitmaps of this
+    step, the one before, and so on to a cycle ago; what passes them all has
+    had its cycle."""
+    def packed(held):
+        h, *rest = (np.concatenate(x) for x in zip(*held))
+        _, first, n = np.unique(h, return_index=True, return_counts=True)
+        head, last, since, k, doc = (x[first] for x in rest)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (
+            head.view(np.int64), last.view(np.int64), n, since, k, doc)], schema=_COUNT)
 
     def run(batches):
         known, *older = (Bitmap(m.value) for m in maps)
-        held, since, size = [_NONE], [_NONE.astype(np.int32)], 0
+        held, size = [], 0
         for batch in batches:
-            for words, _, _ in _texts(batch):
-                for k, _, h, head, tail in words.phrases(longest, known):
-                    if k == 1:
-                        h = h if step < cycle else _NONE
-                        age = np.full(len(h), step, np.int32)
-                    else:
-                        age = np.zeros(len(h), np.int32)
-                        for m in older:
-                            age += m(head) & m(tail)
-                        h, age = h[age < cycle], age[age < cycle]
-                    held.append(h)
-                    since.append(np.int32(step) - age)
-                    size += len(h)
+            docs = batch.column("doc").to_numpy()
+            for words, lo, hi in _texts(batch):
+                n = len(words.hash)
+                if step < cycle:
+                    held.append((words.hash, np.zeros(n, np.uint64), words.hash, np.zeros(n, np.int32),
+                                 np.ones(n, np.int32), docs[lo:hi][words.row]))
+                for k, h, head, last, age in words.phrases(longest, known, older):
+                    live = age < cycle
+                    held.append((h[live], head[live], last[live], np.int32(step) - age[live],
+                                 np.full(int(live.sum()), k, np.int32), np.zeros(int(live.sum()), np.int64)))
+                    size += int(live.sum())
+                size += n
                 if size > HELD:
-                    yield packed(held, since)
-                    held, since, size = [_NONE], [_NONE.astype(np.int32)], 0
-        yield packed(held, since)
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
+            yield packed(held)
     return run
 
 
-def _spell(longest: int, found):
-    """(lang, seed, text) -> (lang, words, phrase, count) of the phrases in the
-    bitmap; words 0 has the language's number of words."""
-    schema = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+def _hashed(batches):
+    """Rows with head and last -> the phrase's hash in front."""
+    for batch in batches:
+        head, last = (batch.column(c).to_numpy().view(np.uint64) for c in ("head", "last"))
+        yield pa.RecordBatch.from_arrays([pa.array(phrase_hash(head, last).view(np.int64)), *batch.columns],
+                                         names=["h", *batch.schema.names])
+
+
+def _bits(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of the column h; at most bits / 64 rows come to the driver."""
+    rows = (hashes.groupBy(F.expr(f"shiftright(h & {bits - 1}, 6)").alias("word"))
+            .agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("ones")).toArrow())
+    out = np.zeros(bits // 64, np.uint64)
+    out[rows["word"].to_numpy()] = rows["ones"].to_numpy().view(np.uint64)
+    return out
 
-    def packed(spelled, hs, ns, sizes):
-        h, at = np.unique(np.concatenate(hs), return_inverse=True)
-        n = np.bincount(at, np.concatenate(ns), len(h)).astype(np.int64) if len(h) else np.zeros(0, np.int64)
-        rows = [(*spelled[x], c) for x, c in zip(h.tolist(), n.tolist())] + [(lang, 0, "", c) for lang, c in sizes.items()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(list(zip(*rows)) or [[]] * 4, schema)], schema=schema)
+
+def _spell(places):
+    """(doc, lang, seed, text) -> the words that are looked for in this
+    document, and the number of words of each language (h null)."""
+    schema = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
     def run(batches):
-        known, held = Bitmap(found.value), ({}, [_NONE], [_NONE.astype(np.int64)], Counter())
+        wanted = Bitmap(places.value)
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
+            langs, docs, out, sizes = batch.column("lang").to_pylist(), batch.column("doc").to_numpy(), [], Counter()
             for words, lo, hi in _texts(batch):
-                spelled, hs, ns, sizes = held
                 for lang, n in zip(langs[lo:hi], np.diff(words.at).tolist()):
                     if n:
                         sizes[lang] += n
-                for k, at, h, _, _ in words.phrases(longest, known):
-                    at, h = (x[known(h)] for x in (at, h))
-                    h, first, n = np.unique(h, return_index=True, return_counts=True)
-                    hs.append(h)
-                    ns.append(n)
-                    for x, i in zip(h.tolist(), at[first].tolist()):
-                        if x not in spelled:
-                            text = b" ".join(words.data[words.start[j]: words.end[j]].tobytes() for j in range(i, i + k))
-                            spelled[x] = langs[lo + words.row[i]], k, text.decode()
-                if len(spelled) > HELD // 8 or sum(map(len, hs)) > HELD:
-                    yield packed(*held)
-                    held = {}, [_NONE], [_NONE.astype(np.int64)], Counter()
-        yield packed(*held)
+                at = np.flatnonzero(wanted(words.hash ^ docs[lo:hi][words.row].view(np.uint64)))
+                for i in at[np.unique(words.hash[at], return_index=True)[1]].tolist():
+                    out.append((int(words.hash[i].view(np.int64)), langs[lo + words.row[i]],
+                                words.data[words.start[i]: words.end[i]].tobytes().decode(), None))
+            out += [(None, lang, None, n) for lang, n in sizes.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(list(zip(*out)) or [[]] * 4, schema)], schema=schema)
     return run
 
 
-def _bits(frequent: DataFrame, bits: int, also: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps of the hashes, of all and of those that can be part of a longer
-    phrase, with those of ``also``; at most bits / 64 rows come to the driver."""
-    at = f"(shiftrightunsigned(h, 1) & {bits - 1})"
-    one = f"shiftleft(1L, cast({at} & 63 as int))"
-    rows = (frequent.groupBy(F.expr(f"shiftright({at}, 6)").alias("word"))
-            .agg(F.expr(f"bit_or({one})").alias("all"), F.expr(f"bit_or(if(h & 1 = 0, {one}, 0L))").alias("part")).toArrow())
-    out = also.copy()
-    for m, c in zip(out, ("all", "part")):
-        m[rows["word"].to_numpy()] |= rows[c].to_numpy().view(np.uint64)
-    return out
-
-
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = MAX_WORDS, shards: int = SHARDS,
                      bits: int = BITS) -> DataFrame:
-    """(lang, k, phrase, n): exact counts of all phrases of 1 to ``longest`` words
+    """(lang, k, phrase, n): counts of all phrases of 1 to ``longest`` words
     that occur ``min_count`` times in a language; k = 0 has its number of words."""
     spark = docs.sparkSession
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    docs = docs.select(lang.alias("lang"), F.xxhash64(lang).alias("seed"),
-                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-                       F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(shards)).alias("shard"))
-    steps, maps, sent = [], [np.zeros((2, bits // 64), np.uint64)], []  # maps: all, part of a longer one
+    docs = docs.select(F.xxhash64(F.lit(7), "doc_id", "text").alias("doc"), lang.alias("lang"), F.xxhash64(lang).alias("seed"),
+                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    steps, done, maps, sent = [], [], [np.zeros(bits // 64, np.uint64)], []
     while True:
         t = len(steps)
-        if t >= shards and (maps[t][1] == maps[t - shards][1]).all():
+        if t >= shards and (maps[t] == maps[t - shards]).all():
             break  # a full cycle without a new frequent phrase: none is active
-        sent.append(spark.sparkContext.broadcast(maps[t][1]))
+        sent.append(spark.sparkContext.broadcast(maps[t]))
         if t > shards:
             sent[t - shards - 1].unpersist()
-        counts = docs.filter(F.col("shard") == t % shards).select("seed", "text").mapInArrow(
-            _count(longest, t, shards, sent[t::-1][: shards + 1]), "h long, n long, since int")
-        steps.append(materialize(counts.groupBy("h").agg(F.sum("n").alias("n"), F.min("since").alias("since")), "phrases-step"))
+        counts = docs.filter(F.pmod("doc", F.lit(shards)) == t % shards).select("doc", "seed", "text").mapInArrow(
+            _count(longest, t, shards, sent[t::-1][: shards + 1]), _COUNT_SQL)
+        summed = [F.sum("n").alias("n"), F.min("since").alias("since"), F.min("k").alias("k"), F.min("doc").alias("doc")]
+        # dealt out before any sum: a task's phrases are distinct already
+        steps.append(materialize(counts.repartition("head", "last").groupBy("head", "last").agg(*summed), "phrases-step"))
         # what is in its cycle now was counted in its last steps only
-        live = [s.filter(F.col("since") > t - shards) for s in steps[-shards:]]
-        total = live[0]
-        for s in live[1:]:
+        total, *others = [s.filter(F.col("since") > t - shards) for s in steps[-shards:]]
+        for s in others:
             total = total.unionByName(s)
-        if len(live) > 1:
-            total = total.groupBy("h").agg(F.sum("n").alias("n"))
-        maps.append(_bits(total.filter(F.col("n") >= min_count).select("h"), bits, maps[t]))
-    found = spark.sparkContext.broadcast(maps[-1][0])
-    exact = docs.select("lang", "seed", "text").mapInArrow(_spell(longest, found), "lang string, k int, phrase string, n long")
-    return materialize(exact.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
-                       .filter((F.col("k") == 0) | (F.col("n") >= min_count)), "phrases-exact")
+        if others:
+            total = total.groupBy("head", "last").agg(*summed)
+        often = materialize(total.filter(F.col("n") >= min_count).mapInArrow(_hashed, "h long, " + _COUNT_SQL), "phrases-often")
+        maps.append(_bits(often.filter(F.col("k") < longest).select("h"), bits) | maps[t])
+        done.append(often.filter(F.col("since") == t - shards + 1))  # their cycle ends with this step
+    whole = done[0]
+    for d in done[1:]:
+        whole = whole.unionByName(d)
+    # words are spelled from the one document kept with each, phrases from their parts
+    place = whole.filter("k = 1").select(F.col("h").bitwiseXOR(F.col("doc")).alias("h"))
+    read = materialize(docs.mapInArrow(_spell(spark.sparkContext.broadcast(_bits(place, bits))),
+                                       "h long, lang string, word string, n long"), "phrases-words")
+    words = read.filter("h is not null").select("h", "lang", "word").dropDuplicates(["h"])
+    spelled = [materialize(whole.filter("k = 1").select("h", "n").join(words, "h").select(
+        "h", "lang", F.lit(1).alias("k"), F.col("word").alias("phrase"), "n"), "phrases-spelled")]
+    for k in range(2, longest + 1):
+        head = spelled[-1].select(F.col("h").alias("head"), "lang", F.col("phrase").alias("front"))
+        last = spelled[0].select(F.col("h").alias("last"), F.col("phrase").alias("word"))
+        spelled.append(materialize(whole.filter(F.col("k") == k).select("h", "head", "last", "n").join(head, "head").join(last, "last").select(
+            "h", "lang", F.lit(k).alias("k"), F.concat_ws(" ", "front", "word").alias("phrase"), "n"), "phrases-spelled"))
+    out = read.filter("h is null").groupBy("lang").agg(F.sum("n").alias("n")).select(
+        "lang", F.lit(0).alias("k"), F.lit("").alias("phrase"), "n")
+    for x in spelled:
+        out = out.unionByName(x.drop("h"))
+    return out
 
 
 def collocations(docs: DataFrame, top: int = TOP, min_count: int = MIN_COUNT, longest: int = MAX_WORDS,
                  shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``top``."""
-    counts = frequent_phrases(docs, min_count, longest, shards, bits)
+    counts = materialize(frequent_phrases(docs, min_count, longest, shards, bits), "phrases-counts")
     phrase = counts.filter("k > 0").select("lang", "phrase", F.col("n").alias("a"))
     total = counts.filter("k = 0").select("lang", F.col("n"))
     some = counts.filter("k > 1").select("lang", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
