@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import ids_to_text, mask_out_of_vocab, unmask_labels
+from ..operators import subwords as W
 from ..operators import vocab as V
 from ..operators.pairs import clean_pairs, turn_pairs
 from ..operators.runs import batch_number
@@ -215,3 +216,24 @@ def q_mask_out_of_vocab(spark: SparkSession, data_dir: str) -> DataFrame:
     from ..functions.ids import pad_fixed
     t = t.withColumn("labels", mask_out_of_vocab(pad_fixed("labels", MAX_LEN, V.PAD_ID), V.PAD_ID, vocab_size))
     return t.select("pair_id", ids_to_text("labels").alias("labels"))
+
+
+#: Padding for the byte-level vocabulary, whose own ids end at 50256.
+SUBWORD_END, SUBWORD_PAD = 50_256, 50_257
+
+
+@query("subword_round_trip", sql="SELECT doc_id, coalesce(text, '') AS text, true AS same FROM documents")
+def q_subword_round_trip(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Every whole document to sub-word ids and back."""
+    docs = load_table(spark, data_dir, "documents").select("doc_id", "text")
+    enc = W.encode_subwords(docs, "text", "ids")
+    dec = enc.select("doc_id", F.coalesce("text", F.lit("")).alias("was"), W.subword_text(F.col("ids")).alias("text"))
+    return dec.select("doc_id", "text", (F.col("was") == F.col("text")).alias("same"))
+
+
+@query("subword_pairs")
+def q_subword_pairs(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The pairs as a trainer with a sub-word vocabulary wants them (no SQL
+    form: tests compare the ids with a second library)."""
+    enc = W.encode_subword_pairs(pairs_of(spark, data_dir), "src", "tgt", MAX_LEN, SUBWORD_PAD, SUBWORD_END)
+    return enc.select("pair_id", "input_ids", "attention_mask", "labels")

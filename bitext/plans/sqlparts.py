@@ -159,6 +159,56 @@ def translate_cte(name: str, rows: str, key: str, text_expr: str, best: str) ->
 
 
 # ---------------------------------------------------------------- metrics
+def language_model_ctes(name: str, rows: str, text_expr: str) -> str:
+    """CTEs ending in {name}: (context, word, count, logp); context null: the word alone."""
+    return f"""{name}_t AS (SELECT {tokens(text_expr)} AS t FROM {rows}),
+{name}_c AS MATERIALIZED (
+  SELECT context, word, count(*) AS count FROM (
+    SELECT unnest(list_concat(['<s>'], t)) AS context, unnest(list_concat(t, ['</s>'])) AS word
+    FROM {name}_t WHERE len(t) > 0) GROUP BY ALL),
+{name}_w AS (SELECT word, CAST(sum(count) AS BIGINT) AS count FROM {name}_c GROUP BY word),
+{name} AS MATERIALIZED (
+  SELECT context, word, count, ln(CAST(count AS DOUBLE) / sum(count) OVER (PARTITION BY context)) AS logp FROM {name}_c
+  UNION ALL
+  SELECT NULL, word, count, ln(CAST(count + 1 AS DOUBLE) / (SELECT sum(count) + count(*) + 1 FROM {name}_w)) FROM {name}_w)"""
+
+
+def beam_ctes(name: str, rows: str, key: str, text_expr: str, lex: str, model: str, beam: int, weight: float,
+              backoff: float, least: float) -> str:
+    """CTEs ending in {name}: (key, rank, translation, score).  One step of the
+    recursion is one position of all texts."""
+    lm = f"{weight} * coalesce(g.logp, ln({backoff}) + "
+    return f"""{name}_none AS (SELECT -ln(sum(count) + count(*) + 1) AS own FROM {model}_w),
+{name}_best AS (
+  SELECT e, f, p, row_number() OVER (PARTITION BY e ORDER BY round(p, 9) DESC, f ASC) AS rk FROM {lex}),
+{name}_t AS (SELECT {key}, {tokens(text_expr)} AS t FROM {rows}),
+{name}_x AS (SELECT {key}, pos, t[pos] AS tok, len(t) AS m FROM (
+  SELECT {key}, t, unnest(range(1, len(t) + 1)) AS pos FROM {name}_t)),
+{name}_lat AS MATERIALIZED (
+  SELECT x.{key}, x.pos, x.m, coalesce(b.f, x.tok) AS w, coalesce(b.rk, 1) AS ck,
+         CASE WHEN b.f IS NULL THEN 0.0 ELSE ln(greatest(b.p, {least})) END AS lp,
+         CASE WHEN b.f IS NULL THEN n.own ELSE coalesce(u.logp, n.own) END AS own
+  FROM {name}_x x CROSS JOIN {name}_none n LEFT JOIN {name}_best b ON b.e = x.tok AND b.rk <= {beam}
+  LEFT JOIN {model} u ON u.context IS NULL AND u.word = b.f),
+{name}_b({key}, pos, rk, last, score, tr) AS (
+  SELECT DISTINCT {key}, CAST(0 AS BIGINT), CAST(1 AS BIGINT), '<s>', CAST(0.0 AS DOUBLE), '' FROM {name}_lat
+  UNION ALL
+  SELECT {key}, pos, rk, w, score, tr FROM (
+    SELECT b.{key}, l.pos, l.w, b.score + (l.lp + {lm}l.own)) AS score,
+           CASE WHEN b.pos = 0 THEN l.w ELSE b.tr || ' ' || l.w END AS tr,
+           row_number() OVER (PARTITION BY b.{key} ORDER BY round(b.score + (l.lp + {lm}l.own)), 9) DESC, b.rk, l.ck) AS rk
+    FROM {name}_b b JOIN {name}_lat l ON l.{key} = b.{key} AND l.pos = b.pos + 1
+    LEFT JOIN {model} g ON g.context = b.last AND g.word = l.w) WHERE rk <= {beam}),
+{name}_end AS (SELECT {key}, max(pos) AS m FROM {name}_lat GROUP BY {key}),
+{name}_s AS (
+  SELECT b.{key}, b.rk, b.tr, b.score + {lm}coalesce(u.logp, n.own)) AS score
+  FROM {name}_b b JOIN {name}_end e ON e.{key} = b.{key} AND e.m = b.pos CROSS JOIN {name}_none n
+  LEFT JOIN {model} g ON g.context = b.last AND g.word = '</s>' LEFT JOIN {model} u ON u.context IS NULL AND u.word = '</s>'),
+{name} AS (
+  SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY round(score, 9) DESC, rk) AS rank, tr AS translation, score
+  FROM {name}_s)"""
+
+
 def bleu_tokens(expr: str) -> str:
     from ..functions.bleu_tok import PUNCT_CLASS, RULES, UNESCAPE
     from ..functions.text import WS_CLASS

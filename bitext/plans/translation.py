@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import WS_CLASS
 from ..operators import metrics as M
+from ..operators.decode import BACKOFF, LEAST_P, LM_WEIGHT, beam_rows, beam_translate, fit_language_model
 from ..operators.lexicon import BAND, BEAM, fit_lexicon, fit_lexicons, top_k
 from ..operators.pairs import clean_pairs, turn_chains, turn_pairs
 from ..operators.similarity import dense_cosine, token_cosine, with_token_cosine
@@ -75,6 +76,35 @@ def q_lexicon_translate(spark: SparkSession, data_dir: str) -> DataFrame:
     return translate(pairs.select("pair_id", "src"), "src", lex, "translation", key="pair_id")
 
 
+_LM_SQL = S.language_model_ctes("lm", "pairs", "tgt")
+
+
+@query("language_model", sql=f"""
+WITH {S.turn_pairs_cte()},
+{_LM_SQL}
+SELECT context, word, count, round(logp, 6) AS logp FROM lm
+""")
+def q_language_model(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Bigrams with back-off of the target side of the pairs."""
+    model = fit_language_model(pairs_of(spark, data_dir), "tgt")
+    return model.select("context", "word", "count", F.round("logp", 6).alias("logp"))
+
+
+@query("lexicon_beam", sql=f"""
+WITH RECURSIVE {S.turn_pairs_cte()},
+{_FWD_SQL},
+{_LM_SQL},
+{S.beam_ctes('bm', 'pairs', 'pair_id', 'src', _FWD, 'lm', BEAM, LM_WEIGHT, BACKOFF, LEAST_P)}
+SELECT pair_id, CAST(rank AS INTEGER) AS rank, translation, round(score, 6) AS score FROM bm
+""")
+def q_lexicon_beam(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The five best translations of each source text, with the beam of five."""
+    pairs = pairs_of(spark, data_dir)
+    lex = fit_lexicon(pairs, "pair_id", "src", "tgt", EM_ITERS, BAND)
+    best = beam_translate(pairs, "pair_id", "src", lex, fit_language_model(pairs, "tgt"))
+    return best.select("pair_id", "rank", "translation", F.round("score", 6).alias("score"))
+
+
 _DOCS = "docs AS (SELECT doc_id, lang, text FROM documents)"
 _ROUND_TRIP_SQL = f"""{S.turn_pairs_cte()},
 {_FWD_SQL},
@@ -92,10 +122,19 @@ scored AS (SELECT r.pair_id AS doc_id, r.lang, r.text, r.synthetic, s.similarity
            FROM rt r JOIN rsim s ON s.pair_id = r.pair_id)"""
 
 
-def round_trip_docs(spark: SparkSession, data_dir: str) -> DataFrame:
+def round_trip_docs(spark: SparkSession, data_dir: str, beam: int | None = None) -> DataFrame:
     """Documents → forward translation → back translation → token cosine of
-    original and back translation → ``(doc_id, lang, text, synthetic, similarity)``."""
+    original and back translation → ``(doc_id, lang, text, synthetic, similarity)``.
+    With ``beam`` both translations are beam searches with language models of
+    the two sides of the pairs; without, word for word."""
     fwd, bwd = lexicons(spark, data_dir)
+    if beam is not None:
+        pairs = pairs_of(spark, data_dir)
+        to, fro = (fit_language_model(pairs, side) for side in ("tgt", "src"))
+        docs = load_table(spark, data_dir, "documents").select("doc_id", "lang", "text")
+        synth = materialize(beam_rows(docs, "doc_id", "text", fwd, to, "synthetic", beam=beam), "rt-forward")
+        back = beam_rows(synth, "doc_id", "synthetic", bwd, fro, "back", beam=beam)
+        return synth.join(with_token_cosine(back, "doc_id", "text", "back").select("doc_id", "similarity"), "doc_id")
     docs = load_table(spark, data_dir, "documents").select("doc_id", "lang", "text")
     # the forward output is read twice (result, back-translation input):
     # written once so the forward translation runs once
