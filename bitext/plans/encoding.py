@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ids import ids_to_text, mask_out_of_vocab, unmask_labels
+from ..functions.ids import ids_to_text, mask_out_of_vocab, take_primary, unmask_labels
 from ..operators import subwords as W
 from ..operators import vocab as V
 from ..operators.pairs import clean_pairs, turn_pairs
 from ..operators.runs import batch_number
 from ..operators.split import SEED, TEST_SIZE, split_exact
+from ..operators.synth import split_augmented
 from ..sources.contracts import require_columns
 from ..session import materialize
 from ..sources.tables import load_table
@@ -237,3 +238,28 @@ def q_subword_pairs(spark: SparkSession, data_dir: str) -> DataFrame:
     form: tests compare the ids with a second library)."""
     enc = W.encode_subword_pairs(pairs_of(spark, data_dir), "src", "tgt", MAX_LEN, SUBWORD_PAD, SUBWORD_END)
     return enc.select("pair_id", "input_ids", "attention_mask", "labels")
+
+
+@query("augmented_split_real", sql=f"""
+WITH {S.turn_pairs_cte('real')},
+{S.turn_pairs_cte('made', 'assistant', 'user')},
+t AS (SELECT 'real' AS origin, pair_id AS id FROM real UNION ALL SELECT 'synthetic', pair_id FROM made),
+o AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY md5('{SEED}:' || id), id) AS r,
+             count(*) OVER (PARTITION BY origin) AS n FROM t)
+SELECT origin, id, CASE WHEN origin = 'real' AND r <= ceil({TEST_SIZE} * n) THEN 'test' ELSE 'train' END AS split FROM o
+""")
+def q_augmented_split_real(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Evaluation on real rows after augmentation; the turns that answer an
+    assistant stand in for the synthetic side."""
+    conv = load_table(spark, data_dir, "conversations")
+    both = [clean_pairs(turn_pairs(conv, a, b)).select(F.lit(o).alias("origin"), F.col("pair_id").alias("id"))
+            for o, a, b in (("real", "user", "assistant"), ("synthetic", "assistant", "user"))]
+    return split_augmented(both[0].unionByName(both[1]), "id", "real", test_size=TEST_SIZE, seed=SEED)
+
+
+@query("take_primary", sql="SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS first, len(embedding) AS n FROM embeddings")
+def q_take_primary(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Predictions given as a tuple (here a vector and its ranks): the first counts."""
+    e = load_table(spark, data_dir, "embeddings")
+    first = take_primary(F.array("embedding", F.transform("embedding", lambda x: x * 0)))
+    return e.select("vec_id", F.round(first[0].cast("double"), 6).alias("first"), F.size(first).cast("long").alias("n"))

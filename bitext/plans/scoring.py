@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
 from ..operators import metrics as M
 from .encoding import pairs_of
 from . import sqlparts as S
@@ -41,6 +42,25 @@ def q_bleu_corpus(spark: SparkSession, data_dir: str) -> DataFrame:
     return b.withColumn("bleu", F.round("bleu", 6)).withColumn("bp", F.round("bp", 6))
 
 
+#: The given tables hold no stem or synonym lists; a word's first letters stand
+#: in for both, so that SQL can form the same classes.
+STEM_CHARS, CLASS_CHARS = 5, 3
+
+
+@query("meteor_staged", sql=f"""
+WITH {S.turn_pairs_cte()},
+{S.meteor_staged_ctes('m', 'pairs', 'pair_id', 'src', 'tgt', STEM_CHARS, CLASS_CHARS)}
+SELECT pair_id, round(meteor, 6) AS meteor FROM m_sent
+""")
+def q_meteor_staged(spark: SparkSession, data_dir: str) -> DataFrame:
+    """METEOR with all three stages."""
+    pairs = pairs_of(spark, data_dir)
+    words = pairs.select(F.explode(F.array_union(tokens("src"), tokens("tgt"))).alias("word")).distinct()
+    table = lambda n, name: words.select("word", F.substring("word", 1, n).alias(name))
+    m = M.meteor_sentences(pairs, "pair_id", "src", "tgt", stems=table(STEM_CHARS, "stem"), synonyms=table(CLASS_CHARS, "class"))
+    return m.select("pair_id", F.round("meteor", 6).alias("meteor"))
+
+
 @query("meteor_exact", sql=f"""
 WITH {S.turn_pairs_cte()},
 {S.meteor_ctes('m', 'pairs', 'pair_id', 'src', 'tgt')}

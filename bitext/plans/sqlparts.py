@@ -304,6 +304,29 @@ def meteor_ctes(prefix: str, rows: str, key: str, hyp: str, ref: str, groups: st
   FROM {prefix}_t l LEFT JOIN {prefix}_s s ON {on_l})"""
 
 
+def meteor_staged_ctes(prefix: str, rows: str, key: str, hyp: str, ref: str, stem: int, cls: int) -> str:
+    """meteor_ctes with stages on a word's first ``stem`` and ``cls`` letters
+    after the exact one, each on the words left."""
+    base = meteor_ctes(prefix, rows, key, hyp, ref)
+    sides, out = {"h": f"{prefix}_h", "r": f"{prefix}_r"}, []
+    matches = [f"SELECT * FROM {prefix}_m0"]
+    for n, size in enumerate((stem, cls), 1):
+        done = " UNION ALL ".join(matches)
+        for side in "hr":
+            out.append(f"""{prefix}_{side}{n} AS (
+  SELECT {key}, pos, c, row_number() OVER (PARTITION BY {key}, c ORDER BY pos DESC) AS k FROM (
+    SELECT x.{key}, x.pos, left(x.tok, {size}) AS c FROM {sides[side]} x
+    WHERE NOT EXISTS (SELECT 1 FROM ({done}) d WHERE d.{key} = x.{key} AND d.{side}pos = x.pos)))""")
+        out.append(f"""{prefix}_m{n} AS MATERIALIZED (
+  SELECT a.{key}, a.pos AS hpos, b.pos AS rpos FROM {prefix}_h{n} a JOIN {prefix}_r{n} b
+  ON a.{key} = b.{key} AND a.c = b.c AND a.k = b.k)""")
+        matches.append(f"SELECT * FROM {prefix}_m{n}")
+    out.append(f"{prefix}_m AS MATERIALIZED ({' UNION ALL '.join(matches)})")
+    head, tail = base.split(f"{prefix}_m AS (", 1)
+    first, rest = tail.split(f"),\n{prefix}_s AS (", 1)
+    return f"{head}{prefix}_m0 AS MATERIALIZED ({first}),\n" + ",\n".join(out) + f",\n{prefix}_s AS ({rest}"
+
+
 ALPHA, BETA, GAMMA = 0.9, 3.0, 0.5
 
 
