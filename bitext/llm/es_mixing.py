@@ -62,19 +62,19 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
 
 def mix(docs: DataFrame, quality: str = QUALITY, weights=WEIGHTS, share: float = SHARE, most: float = MOST,
-        seed: int = 0, ranges: int = RANGES) -> DataFrame:
+        seed: int = 0, ranges: int = RANGES, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs``: doc_id, size, source_size, target, taken (words)
-    and copies (how often the mix repeats the row).  ``quality`` is SQL
+    and copies (how often the mix repeats the row), and the columns ``keep``.  ``quality`` is SQL
     over text and _size."""
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
                                   .cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     least = 1e-300
     sized = materialize(
-        docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+        docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), *keep)
         .withColumn("_size", F.expr(WORDS).cast("long"))
         .withColumn("q", F.greatest(F.coalesce(F.expr(quality), F.lit(least)), F.lit(least)))
         .select("doc_id", "source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("key"), "_size",
-                (-F.ln(u) / F.col("q")).alias("order")), "mix-sizes")
+                (-F.ln(u) / F.col("q")).alias("order"), *keep), "mix-sizes")
     targets = source_targets(sized, weights, share, most)
     # complete epochs, and the budget of the fractional one
     targets = materialize(
@@ -95,7 +95,7 @@ def mix(docs: DataFrame, quality: str = QUALITY, weights=WEIGHTS, share: float =
             .withColumn("more", (2 * F.col("end") - F.col("_size") < 2 * F.col("rest")).cast("int"))
             .withColumn("copies", (F.col("epochs") + F.col("more")).cast("int"))
             .select("doc_id", F.col("_size").alias("size"), "source_size", "target",
-                    (F.col("copies") * F.col("_size")).alias("taken"), "copies"))
+                    (F.col("copies") * F.col("_size")).alias("taken"), "copies", *keep))
 
 
 _SQL = r"""

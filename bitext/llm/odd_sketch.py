@@ -245,7 +245,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb"))
         return materialize(both.mapInArrow(_confirm(num, den), "a long, b long").distinct(), "near-links")
 
-    links = confirmed(star)
+    # rows that share a doc_id are one document: their classes are linked
+    own = signed.filter("n_shingles > 0 and doc_id is not null")
+    several = own.groupBy("doc_id").agg(F.min("h1").alias("a"), F.max("h1").alias("z")).filter("a != z").select("doc_id", "a")
+    same = own.join(several, "doc_id").select("a", F.col("h1").alias("b")).distinct()
+    links = materialize(confirmed(star).unionByName(same), "near-all-links")
     labels = components(links)
 
     joined = member.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
