@@ -22,11 +22,29 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return risk_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def _rows(docs: DataFrame, *key) -> DataFrame:
+    """Rows as one column and 128 bits of hash of ``key``, so no name of the
+    documents can clash with a helper's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"),
+                       F.xxhash64(F.lit(1), *key).alias("k1"), F.xxhash64(F.lit(2), *key).alias("k2"))
+
+
+def _columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles, 0.8) stays."""
+    """One document of each group of near copies (5-word shingles, 0.8) stays,
+    of repeated rows (equal doc_id and text, null ids included) one row."""
     groups = odd_sketch.near_duplicates(docs)
-    gone = groups.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = groups.filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    # columns that xxhash64 takes with a mark for null: (1, null) and (null, 1) differ
+    rows = _rows(docs, F.struct("doc_id", "text", F.col("doc_id").isNull()))
+    rows = rows.join(gone, F.col("id") == F.col("gone"), "left_anti")
+    twice = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k1", "k2")
+    twice = materialize(twice, "pipeline-twice")
+    one = rows.join(twice, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("row").alias("row"))
+    return _columns(rows.join(twice, ["k1", "k2"], "left_anti").select("row").unionByName(one.select("row")), docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +53,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document is repeated as often as the mix takes it (0, 1 or 2)."""
-    size = F.expr(es_mixing.WORDS).cast("long")
-    taken = (es_mixing.mix(docs).filter("copies > 0")
-             .groupBy(F.col("doc_id").alias("_doc"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies")))
-    return (docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & (size == F.col("_size")))
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    """Each row is repeated as often as the mix takes it (0, 1 or 2); rows equal
+    in doc_id, source and text as often as the mix takes one of them at most."""
+    key = F.struct("doc_id", "source", "text", F.col("doc_id").isNull(), F.col("source").isNull())
+    rows = _rows(docs, key)
+    taken = es_mixing.mix(rows.select("row.doc_id", "row.source", "row.text", "k1", "k2"), keep=("k1", "k2"))
+    taken = taken.filter("copies > 0").groupBy("k1", "k2").agg(F.max("copies").alias("copies"))
+    return _columns(rows.join(taken, ["k1", "k2"]).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))), docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +75,8 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: The binomial tests, MinHash and the SVD have no SQL form; tests/llm checks
-#: the stages against brute force.
+#: The binomial tests, MinHash and the SVD have no SQL form; tests/llm compares
+#: run() with a plain version on a small table with planted cases.
 ORACLE_SQL = None
 
 
