@@ -20,9 +20,17 @@
 The benchmark is worked through in blocks of BLOCK_CHARS characters, so what
 is broadcast is bounded whatever its size; documents are never broadcast.
 
-Cases: null and empty texts match nothing; items of fewer than MIN_WORDS words
-match nothing; repeated documents or items are reported each; an empty
-benchmark gives an empty result.  Words ignore case and ASCII punctuation.
+6. Items of fewer than MIN_WORDS words are too short for coverage to mean
+   anything: they are found where all their words stand one after another, by
+   the hash of the sequence, then word for word; their cosine is null.
+
+Cases: null and empty texts match nothing, nor do items without a word;
+repeated documents or items are reported each; an empty benchmark gives an
+empty result.  Words ignore case and ASCII punctuation; a character of a script
+without spaces (Han, kana, Thai, Lao, Khmer, Burmese) is a word of its own.
+``without_leaks`` keeps documents whose only finds are items of fewer than
+``least_words`` words (REMOVE_WORDS): one to three words are found in texts that
+never saw the benchmark.
 """
 
 from __future__ import annotations
@@ -41,7 +49,7 @@ from .registry import query, table
 HALF = 32
 RANK, OVERSAMPLE = 256, 16
 MIN_COSINE = 0.4
-MIN_WORDS = 8
+MIN_WORDS, REMOVE_WORDS = 8, 4
 COVERAGE, PARAPHRASE = 0.8, 0.6
 ANSWER_SHARE = 0.25
 BLOCK_CHARS = 4_000_000
@@ -51,6 +59,8 @@ SLICE_WORDS = 8192
 SEED, SEED_HITS = 3, 1 << 20
 
 LEAK = "doc_id long, item_id long, cosine double, lcs long, coverage double, answer boolean, first_word long, end_word long"
+_NAMES = ["doc_id", "item_id", "cosine", "lcs", "coverage", "answer", "first_word", "end_word"]
+_KINDS = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()]
 
 
 def _ids(vocab: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -64,7 +74,7 @@ def _number(vocab):
     def run(batches):
         terms = vocab.value
         for batch in batches:
-            data, off = tk.plain_utf8(batch.column(1))
+            data, off = tk.plain_utf8(tk.apart(batch.column(1)))
             out = []
             for lo, hi in tk.slices(off):
                 part, o = data[off[lo]: off[hi]], off[lo: hi + 1] - off[lo]
@@ -241,6 +251,46 @@ def _holds(part: np.ndarray, answer: np.ndarray) -> bool:
     return any(np.array_equal(part[s: s + n], answer) for s in np.flatnonzero(part[: len(part) - n + 1] == answer[0]))
 
 
+def short_index(items) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length -> (hashes of the items of so many words, sorted; their numbers)."""
+    out: dict[int, list] = {}
+    for i, (_, ids) in enumerate(items):
+        out.setdefault(len(ids), []).append((int(tk.windows(ids.astype(np.uint64), len(ids))[0]), i))
+    return {n: tuple(np.array(c, t) for c, t in zip(zip(*sorted(v)), (np.uint64, np.int64))) for n, v in out.items()}
+
+
+def whole_places(ids: np.ndarray, items, index) -> dict[int, int]:
+    """Item number -> the first place where all its words stand in ``ids``."""
+    found: dict[int, int] = {}
+    known = np.concatenate(([0], np.cumsum(ids < 0)))
+    for n, (codes, numbers) in index.items():
+        here = np.flatnonzero(known[n:] == known[:-n]) if len(ids) >= n else []
+        if not len(here):
+            continue
+        code = tk.windows(ids.astype(np.uint64), n)[here]
+        lo, hi = np.searchsorted(codes, code), np.searchsorted(codes, code, "right")
+        for k in np.flatnonzero(hi > lo).tolist():
+            at = int(here[k])
+            for j in numbers[lo[k]: hi[k]].tolist():
+                if j not in found and np.array_equal(ids[at: at + n], items[j][1]):
+                    found[j] = at
+    return found
+
+
+def _search_short(model):
+    def run(batches):
+        items, index = model.value
+        for batch in batches:
+            of, rows = batch.column(0).to_pylist(), []
+            for i, ids in _sequences(batch):
+                for j, at in sorted(whole_places(ids, items, index).items()):
+                    n = len(items[j][1])
+                    rows.append((of[i], items[j][0], None, n, 1.0, True, at, at + n))
+            columns = list(zip(*rows)) or [[]] * len(_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS)], names=_NAMES)
+    return run
+
+
 def _search(model, coverage: float, paraphrase: float, min_cosine: float):
     def run(batches):
         project, items, targets, index = model.value  # terms x rank; (id, ids); their passages x rank; runs of items
@@ -316,8 +366,6 @@ def _search(model, coverage: float, paraphrase: float, min_cosine: float):
             for (d, _), hit in best.items():
                 yield group[d][0], hit
 
-        names = ["doc_id", "item_id", "cosine", "lcs", "coverage", "answer", "first_word", "end_word"]
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()]
         for batch in batches:
             ids_of, rows, group, held = batch.column(0).to_pylist(), [], [], 0
             for row in _sequences(batch):
@@ -328,8 +376,8 @@ def _search(model, coverage: float, paraphrase: float, min_cosine: float):
                 held += len(row[1])
             if group:
                 rows += leaks(group)
-            columns = list(zip(*[(ids_of[i], *hit) for i, hit in rows])) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+            columns = list(zip(*[(ids_of[i], *hit) for i, hit in rows])) or [[]] * len(_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS)], names=_NAMES)
     return run
 
 
@@ -340,11 +388,16 @@ def _block_leaks(docs: DataFrame, bench: DataFrame, rank: int, coverage: float,
     rows = bench.orderBy("item_id", "text").collect()
     words = tk.plain_words([r["text"] for r in rows])
     vocab = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]))
-    items = [(r["item_id"], _ids(vocab, w)) for r, w in zip(rows, words) if len(w) >= MIN_WORDS]
-    if not items:
+    worded = [(r["item_id"], _ids(vocab, w)) for r, w in zip(rows, words) if len(w)]
+    items = [i for i in worded if len(i[1]) >= MIN_WORDS]
+    short = [i for i in worded if len(i[1]) < MIN_WORDS]
+    if not worded:
         return spark.createDataFrame([], LEAK)
     terms = sc.broadcast(vocab)
     numbered = materialize(docs.mapInArrow(_number(terms), "doc_id long, ids binary"), "lsa-ids")
+    whole = numbered.mapInArrow(_search_short(sc.broadcast((short, short_index(short)))), LEAK) if short else None
+    if not items:
+        return whole
     passages = materialize(bench.select("item_id", "text").mapInArrow(_number(terms), "doc_id long, ids binary"), "lsa-items")
 
     counts = {r["term"]: r["df"] for r in numbered.mapInArrow(_frequencies(len(vocab)), "term int, df long")
@@ -359,7 +412,8 @@ def _block_leaks(docs: DataFrame, bench: DataFrame, rank: int, coverage: float,
     targets = np.array([project[cut].sum(axis=0) for _, i in items for cut in _cuts(i)])
     targets /= np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-12)
     model = sc.broadcast((project, items, targets, seed_index(items, len(vocab), coverage)))
-    return numbered.mapInArrow(_search(model, coverage, paraphrase, min_cosine), LEAK)
+    found = numbered.mapInArrow(_search(model, coverage, paraphrase, min_cosine), LEAK)
+    return found if whole is None else found.unionByName(whole)
 
 
 def find_leaks(docs: DataFrame, bench: DataFrame, rank: int = RANK, coverage: float = COVERAGE,
@@ -381,9 +435,11 @@ def find_leaks(docs: DataFrame, bench: DataFrame, rank: int = RANK, coverage: fl
     return out
 
 
-def without_leaks(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item was found."""
-    bad = materialize(find_leaks(docs, bench, **options).select(F.col("doc_id").alias("_leak")).distinct(), "lsa-leaks")
+def without_leaks(docs: DataFrame, bench: DataFrame, least_words: int = REMOVE_WORDS, **options) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item was found; items of fewer
+    than ``least_words`` words do not count."""
+    leaks = find_leaks(docs, bench, **options).filter(F.col("lcs") >= least_words)
+    bad = materialize(leaks.select(F.col("doc_id").alias("_leak")).distinct(), "lsa-leaks")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_leak"]), "left_anti")
 
 

@@ -12,6 +12,11 @@ certified cutoffs the one with the best difference of caught and falsely
 rejected shares is used, the most lenient on ties; a rule stays off in a
 stratum that has too few good labels to certify anything.
 
+The binomial model takes documents as independent, so copies must not swell a
+holdout: one row of each doc_id and one of each text (by hash; that of the
+least doc_id) is counted, whatever its stratum.  Texts that differ are taken
+as independent, near copies too.
+
 Cases: a null text has no words; a null language is a stratum of its own; a
 document whose labels disagree counts as bad; label rows without a document,
 or with null quality, are ignored; without labels only the base rules act.
@@ -62,13 +67,18 @@ def certified(rejected: list[int], n: int, alpha: float, level: float) -> int:
 
 def calibrate(counted: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> list[dict]:
     """One dict per certifiable stratum: its name and a cutoff per rule (None:
-    off).  ``counted`` has doc_id, stratum and the counts.  Only sums per
+    off).  ``counted`` has doc_id, stratum, copy (a hash of the text) and the counts.  Only sums per
     stratum come to the driver, and only of strata whose number of good labels
     could certify anything at all (ln(delta) / ln(1 - alpha), 149 here)."""
     marks = (labels.filter("doc_id is not null and quality is not null").groupBy("doc_id")
              .agg(F.min("quality").alias("quality")))
     enough = math.ceil(math.log(delta) / math.log1p(-alpha))
-    sums = (counted.join(marks, "doc_id").withColumn("good", F.col("quality") == 1).groupBy("stratum")
+    held = counted.join(marks, "doc_id")
+    for key, order in (("doc_id", "copy"), ("copy", "doc_id")):  # one row of each id, then of each text
+        rest = [c for c in held.columns if c != key]
+        held = (held.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(order, "stratum")).alias("row"))
+                .select(key, "row.*"))
+    sums = (held.withColumn("good", F.col("quality") == 1).groupBy("stratum")
             .agg(F.sum(F.col("good").cast("int")).alias("n_good"), F.sum((~F.col("good")).cast("int")).alias("n_bad"),
                  *[F.sum(F.when((F.expr(stat) > cut) & (F.col("good") == good), 1).otherwise(0))
                    .alias(f"{rule}:{i}:{int(good)}")
@@ -115,8 +125,9 @@ def _stratum() -> F.Column:
 
 
 def count_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, stratum and the counts, written once."""
-    slim = docs.select("doc_id", _stratum().alias("stratum"), F.col("text").cast("string").alias("text"))
+    """doc_id, stratum, copy (a hash of the text) and the counts, written once."""
+    text = F.col("text").cast("string")
+    slim = docs.select("doc_id", _stratum().alias("stratum"), F.xxhash64(text).alias("copy"), text.alias("text"))
     return materialize(with_counts(slim, keep_text=False), "rule-counts")
 
 

@@ -11,14 +11,17 @@ kernel ridge regression is solved in the landmarks' span,
 
 All texts are then scored in blocks by two matrix products.
 
-The fit reads a sample: for each language the PER_LANGUAGE first training
-documents by a hash of doc_id, fewer if there are so many languages that
-SAMPLE_ROWS would be exceeded; every document is scored.
+The fit reads a sample: for each language the PER_LANGUAGE first distinct
+training texts by hash, fewer if there are so many languages that SAMPLE_ROWS
+would be exceeded; every document is scored.  A cut of the hash that leaves
+about CUT_SHARE times as many texts, from an estimate of each language's
+distinct texts, is taken where the rows lie; only hashes under it are ranked,
+and only the ranked texts are read again.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; null
 languages do not train; without any training row everything is ``und``;
 equal scores go to the first language by code point; repeated rows are scored
-alike.
+alike and train once.
 """
 
 from __future__ import annotations
@@ -29,11 +32,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bitext.session import materialize
+
 from . import textkit as tk
 from .registry import query, table
 
 DIMENSIONS, MAX_N = 8192, 3
 PER_LANGUAGE, SAMPLE_ROWS = 400, 20_000
+#: Texts that the hash cut leaves, over those wanted.
+CUT_SHARE = 2.0
 LANDMARKS = 128
 RIDGE = 1e-4
 #: Steepness of the softmax over the regressions' outputs.
@@ -126,13 +133,18 @@ def identify(docs: DataFrame, held_out: F.Column, per_language: int = PER_LANGUA
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.col("lang").cast("string").alias("lang"))
     train = docs.filter(F.col("lang").isNotNull() & ~held_out)
-    n_langs = train.select("lang").distinct().count()
-    each = max(1, min(per_language, SAMPLE_ROWS // max(n_langs, 1)))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (train.select("doc_id", "lang").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= each)
-           .select(F.col("doc_id").alias("_id")).distinct())
-    sample = (train.join(ids, F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "lang", "text")
-              .select("lang", "text").mapInArrow(_bits, "lang string, bits binary").collect())
+    train = train.select("lang", "text", F.xxhash64("text").alias("h"))
+    sizes = materialize(train.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "kernel-languages")
+    each = max(1, min(per_language, SAMPLE_ROWS // max(sizes.count(), 1)))
+    # the same place of the range of hashes for all, so the cut is a share of it
+    place = F.shiftrightunsigned("h", 1) / F.lit(float(1 << 63))
+    near = train.join(sizes, "lang").filter(place <= F.lit(CUT_SHARE * each) / F.col("n")).select("lang", "h").distinct()
+    first = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 1), "h")
+    chosen = materialize(near.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= each)
+                         .select("lang", "h"), "kernel-sample")
+    # at most SAMPLE_ROWS rows of (lang, h), or one a language
+    sample = (train.join(F.broadcast(chosen), ["lang", "h"], "left_semi").select("lang", "text")
+              .mapInArrow(_bits, "lang string, bits binary").distinct().collect())
     sample = sorted(((r["lang"], bytes(r["bits"])) for r in sample), key=lambda r: (r[0], hash_of(r[1])))
     if sample:
         x = np.unpackbits(np.frombuffer(b"".join(b for _, b in sample), np.uint8)).reshape(len(sample), -1)

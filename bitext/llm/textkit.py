@@ -134,9 +134,23 @@ def plain_utf8(col) -> tuple[np.ndarray, np.ndarray]:
     return _PLAIN[data], off
 
 
+#: Scripts written without spaces between words.
+_UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+
+
+def apart(col):
+    """A string column with each character of a script without spaces set
+    apart by blanks, so that it is a word of its own."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    if not (flat_utf8(col)[0] >= 0xE0).any():
+        return col  # all those scripts lie beyond U+0800
+    return pc.replace_substring_regex(col.cast(pa.large_string()), _UNSPACED, r" \1 ")
+
+
 def plain_words(texts: list[str]) -> list[np.ndarray]:
     """Word hashes of each text, read as plain_utf8."""
-    data, off = plain_utf8(pa.array(texts, pa.large_string()))
+    data, off = plain_utf8(apart(pa.array(texts, pa.large_string())))
     starts, ends, at = pieces(data, off, SPACE)
     h = piece_hashes(data, starts, ends)
     return [h[a:b] for a, b in zip(at, at[1:])]

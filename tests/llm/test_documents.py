@@ -193,6 +193,21 @@ def test_repeats_empty(frame):
 
 
 # ------------------------------------------------------------------ decontamination
+def test_copies_certify_nothing(spark, frame):
+    """Rows of one id, and copies of one text, count once in a holdout."""
+    rng = random.Random(12)
+    junk = [(5000 + i, " ".join(w + "%%%" for w in text(rng, 80).split()), "en") for i in range(50)]
+    one = text(rng, 80)
+    labels = spark.createDataFrame([(i, 1) for i in range(900)] + [(d[0], 0) for d in junk], "doc_id long, quality int")
+    for good in ([(7, one, "en")] * 900, [(i, one, "en") for i in range(900)], [(i % 100, text(rng, 80), "en") for i in range(900)]):
+        counted = risk_rules.count_documents(frame([*good, *junk]))
+        assert risk_rules.calibrate(counted, labels) == []
+    good = [(i, text(rng, 80), "en") for i in range(900)]
+    once = risk_rules.calibrate(risk_rules.count_documents(frame([*good, *junk])), labels)
+    more = risk_rules.calibrate(risk_rules.count_documents(frame([*good, *good, *good[:1] * 500, *junk])), labels)
+    assert once == more and once[0]["symbols_per_word"] is not None
+
+
 def test_leaks(spark, frame):
     rng = random.Random(4)
     items = [(i, text(rng, 30, 5000)) for i in range(20)]
@@ -213,6 +228,39 @@ def test_leaks(spark, frame):
     assert lsa_decontam.find_leaks(frame([]), bench).count() == 0
 
 
+def test_short_and_unspaced_leaks(spark, frame, monkeypatch):
+    rng = random.Random(14)
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(40))
+    kana = "".join(chr(0x3042 + rng.randrange(60)) for _ in range(6))
+    items = [(0, "what is the capital of w77 land"), (1, han), (2, kana), (3, "w5 w6"), (4, "w5 w6"), (5, text(rng, 30))]
+    bench = spark.createDataFrame([*items, (6, None), (7, " .,! ")], "item_id long, text string")
+    other = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400))
+    docs = [(10, text(rng, 50) + " What is the capital, of w77 LAND? " + text(rng, 50)), (11, other + han + other),
+            (12, other[:20] + kana + "。" + other[20:]), (13, "x w5 w6 y"), (14, "w5 w7 w6"), (15, "what is the w capital of w77 land"),
+            (16, other), (17, items[5][1]), (18, None), (19, ""), (13, "x w5 w6 y")]
+    found = sorted((r.doc_id, r.item_id, r.lcs, *((r.first_word, r.end_word) if r.lcs < 8 else ())) for r in lsa_decontam.find_leaks(frame(docs), bench).collect())
+    assert found == [(10, 0, 7, 50, 57), (11, 1, 40), (12, 2, 6, 20, 26), *[(13, 3, 2, 1, 3)] * 2,
+                     *[(13, 4, 2, 1, 3)] * 2, (17, 5, 30)]
+    rest = {r.doc_id for r in lsa_decontam.without_leaks(frame(docs), bench).collect()}
+    assert rest == {13, 14, 15, 16, 18, 19}  # two words are no leak to remove a document for
+    only = bench.filter("item_id in (0, 3)")  # no item long enough for the latent space
+    assert {(r.doc_id, r.item_id) for r in lsa_decontam.find_leaks(frame(docs), only).collect()} == {(10, 0), (13, 3)}
+
+
+def test_whole_places_equal_brute_force():
+    rng = np.random.default_rng(3)
+    items = [(i, rng.integers(0, 4, rng.integers(1, 8)).astype(np.int32)) for i in range(300)]
+    index = lsa_decontam.short_index(items)
+    for n in (0, 1, 5, 60, 300):
+        ids = rng.integers(-1, 4, n).astype(np.int32)
+        want = {}
+        for j, (_, w) in enumerate(items):
+            at = next((k for k in range(n - len(w) + 1) if np.array_equal(ids[k: k + len(w)], w)), None)
+            if at is not None:
+                want[j] = at
+        assert lsa_decontam.whole_places(ids, items, index) == want
+
+
 def test_leaks_of_frequent_words(spark, frame):
     rng = random.Random(14)
     items = [(i, text(rng, 40, 5000)) for i in range(10)]
@@ -362,6 +410,22 @@ def test_languages(frame):
 
 
 # ------------------------------------------------------------------ mixing, sharding
+def test_language_sample_is_bounded(frame, monkeypatch):
+    """The collected sample keeps its bound, and a text repeated often trains once."""
+    from pyspark.sql import functions as F
+    rng = random.Random(18)
+    seen = []
+    fit = string_kernel.fit_ridge
+    monkeypatch.setattr(string_kernel, "fit_ridge", lambda x, langs, n: seen.append(Counter(langs)) or fit(x, langs, n))
+    docs = [(i, " ".join(rng.choice(("abc", "bcd", "dea", "eab")) + str(rng.randrange(10**6)) for _ in range(5)), "aa")
+            for i in range(3000)]
+    docs += [(9000, "vw xyz zz", "bb")] * 3000 + [(9001 + i, "vw xyz", "bb") for i in range(2000)]
+    docs += [(20_000 + i, "áéí óú " + "éíóúá"[i] * 3, "cc") for i in range(5)]
+    out = string_kernel.identify(frame(docs), F.lit(False), per_language=100).collect()
+    assert len(out) == len(docs) and seen == [Counter({"aa": 100, "bb": 2, "cc": 5})]
+    assert all(r.lang_pred == "bb" for r in out if 9000 <= r.doc_id < 20_000)
+
+
 def test_mix(frame):
     rng = random.Random(9)
     docs = [(i, text(rng, rng.randrange(1, 40)), "en", rng.choice(["a", "b", "b", "b", "c", None])) for i in range(600)]
