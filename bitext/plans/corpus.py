@@ -14,6 +14,7 @@ from ..operators.ordering import row_number_by
 from ..operators.pairs import clean_pairs, part_key, table_from_columns, turn_pairs, with_row_id, zip_rows
 from ..operators.split import SEED, TEST_SIZE, split_exact, split_hash
 from ..session import checkpoint_dir
+from ..sources.aligned import zip_files
 from ..sources.contracts import require_columns
 from ..sources.csv import scan_csv, sink_csv, sink_tsv
 from ..sources.lines import clean_lines
@@ -123,6 +124,27 @@ def q_zip_rows(spark: SparkSession, data_dir: str) -> DataFrame:
     return zip_rows(left, right, "row_id").select("row_id", "doc_id", "lang", "n_chars")
 
 
+_ONE_LINE = "regexp_replace({}, '[\\r\\n]+', ' ', 'g')"
+
+
+@query("zip_files", sql=f"""
+WITH {S.turn_pairs_cte()}
+SELECT {_ONE_LINE.format('src')} AS src, {_ONE_LINE.format('tgt')} AS tgt FROM pairs
+""")
+def q_zip_files(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Both sides of the turn pairs written apart as text, in one order but cut
+    into other files, and paired again by line number."""
+    pairs = clean_pairs(turn_pairs(load_table(spark, data_dir, "conversations")))
+    paths = []
+    for side, files in (("src", 3), ("tgt", 5)):
+        path = scratch_path(spark, f"zip-{side}")
+        (pairs.select("conv_id", "turn", F.regexp_replace(side, "[\\r\\n]+", " ").alias("value"))
+         .repartitionByRange(files, "conv_id", "turn", "value").sortWithinPartitions("conv_id", "turn", "value")
+         .select("value").write.mode("overwrite").text(path))
+        paths.append(path)
+    return zip_files(spark, *paths).select("src", "tgt")
+
+
 @query("orient_pairs", sql=f"""
 WITH {S.turn_pairs_cte()}
 SELECT pair_id, 'user2assistant' AS direction, src, tgt, 'real' AS origin FROM pairs

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions.naming import run_name
 from ..operators import runs as R
-from ..sources.tables import load_table
-from .registry import query
+from ..sources.tables import load_table, stream_table
+from ..streaming.runlog import early_stop_stream, run_verdicts
+from .corpus import scratch_path
+from .registry import ORACLE_SQL, query
 
 PATIENCE = 5      # smallest early-stopping patience of the reference
 KEEP_LAST = 2     # save_total_limit of the reference's Marian trainers
@@ -88,6 +90,17 @@ def q_early_stop(spark: SparkSession, data_dir: str) -> DataFrame:
     return R.early_stop(_evals(spark, data_dir), "run_id", "step", "metric", PATIENCE)
 
 
+@query("early_stop_stream")
+def q_early_stop_stream(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The same verdicts from the log read as a stream, one state per run."""
+    verdicts = early_stop_stream(stream_table(spark, data_dir, "events"), "user_id", "event_id", "value", "ts", PATIENCE)
+    out = run_verdicts(verdicts, scratch_path(spark, "verdicts"), scratch_path(spark, "verdicts-ckpt"))
+    return out.select("run_id", "stop_step", "best_step", "best_metric", "n_evals")
+
+
+ORACLE_SQL["early_stop_stream"] = ORACLE_SQL["early_stop"]
+
+
 @query("best_checkpoint", sql=f"""
 WITH {_BEST}
 SELECT user_id AS run_id, best_step, best_metric FROM best

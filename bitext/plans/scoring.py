@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators import metrics as M
+from ..operators.resample import REPLICATES, poisson_cuts, score_intervals
 from .encoding import pairs_of
 from . import sqlparts as S
 from .registry import query
@@ -72,6 +73,46 @@ def q_meteor_exact(spark: SparkSession, data_dir: str) -> DataFrame:
     return m.select("pair_id", F.round("meteor", 6).alias("meteor"))
 
 
+def _interval_sql(name: str, i: int) -> str:
+    return f"""SELECT '{name}' AS system, round(max(m{i}) FILTER (WHERE b = 0), 6) AS mean,
+       round(quantile_cont(m{i}, 0.025) FILTER (WHERE b > 0), 6) AS low,
+       round(quantile_cont(m{i}, 0.5) FILTER (WHERE b > 0), 6) AS median,
+       round(quantile_cont(m{i}, 0.975) FILTER (WHERE b > 0), 6) AS high,
+       round(avg(CASE WHEN m{i} >= m0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE b > 0), 6) AS p_first FROM reps"""
+
+
+#: What the second system leaves out of a hypothesis: its first word.
+_FIRST_WORD = r"^\S+\s*"
+_WEIGHT = " + ".join(f"CAST(d >= {c} AS INTEGER)" for c in poisson_cuts())
+
+
+@query("score_intervals", sql=f"""
+WITH {S.turn_pairs_cte()},
+shorter AS (SELECT pair_id, regexp_replace(src, '{_FIRST_WORD}', '') AS src, tgt FROM pairs),
+{S.meteor_ctes('a', 'pairs', 'pair_id', 'src', 'tgt')},
+{S.meteor_ctes('c', 'shorter', 'pair_id', 'src', 'tgt')},
+draws AS (
+  SELECT a.meteor AS x0, c.meteor AS x1, b,
+         CAST(('0x' || substr(md5(CAST(a.pair_id AS VARCHAR) || ':' || CAST(b AS VARCHAR)), 1, 8)) AS BIGINT) AS d
+  FROM a_sent a JOIN c_sent c ON c.pair_id = a.pair_id, (SELECT unnest(range({REPLICATES + 1})) AS b)),
+reps AS (
+  SELECT b, sum(w * x0) / sum(w) AS m0, sum(w * x1) / sum(w) AS m1
+  FROM (SELECT b, x0, x1, CASE WHEN b = 0 THEN 1 ELSE {_WEIGHT} END AS w FROM draws) GROUP BY b)
+{_interval_sql('whole', 0)}
+UNION ALL
+{_interval_sql('shorter', 1)}
+""")
+def q_score_intervals(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Bootstrap intervals of mean METEOR for two systems over the same pairs:
+    the whole user turn, and the turn less its first word."""
+    pairs = pairs_of(spark, data_dir)
+    shorter = pairs.withColumn("src", F.regexp_replace("src", _FIRST_WORD, ""))
+    whole = M.meteor_sentences(pairs, "pair_id", "src", "tgt").withColumnRenamed("meteor", "whole")
+    less = M.meteor_sentences(shorter, "pair_id", "src", "tgt").withColumnRenamed("meteor", "shorter")
+    out = score_intervals(whole.join(less, "pair_id"), "pair_id", ["whole", "shorter"])
+    return out.select("system", *[F.round(c, 6).alias(c) for c in ("mean", "low", "median", "high", "p_first")])
+
+
 @query("rouge_l", sql=f"""
 WITH RECURSIVE {S.turn_pairs_cte()},
 {S.lcs_ctes('r', 'pairs', 'pair_id', 'src', 'tgt')}

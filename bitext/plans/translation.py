@@ -15,6 +15,7 @@ from ..operators.similarity import dense_cosine, token_cosine, with_token_cosine
 from ..operators.split import SEED, TEST_SIZE, split_exact
 from ..operators.synth import THRESHOLD, augment, compose_pivot, gate_blank, gate_stats
 from ..operators.translate import map_rows, translate
+from ..operators.wordvec import fit_sentence_vectors, vector_similarity
 from ..session import materialize
 from ..sources.tables import load_table
 from . import sqlparts as S
@@ -218,6 +219,16 @@ def q_gate_stats(spark: SparkSession, data_dir: str) -> DataFrame:
                      *[F.round(c, 6).alias(c) for c in ("acceptance_rate", "mean_sim", "p10", "p50", "p90")])
 
 
+@query("sentence_similarity")
+def q_sentence_similarity(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Pairs gated by the cosine of sentence vectors learned from both sides."""
+    pairs = pairs_of(spark, data_dir)
+    model = fit_sentence_vectors(pairs, ["src", "tgt"])
+    scored = vector_similarity(pairs.select("pair_id", "src", "tgt"), model, "src", "tgt")
+    gated = gate_blank(scored, "tgt")
+    return gated.select("pair_id", F.round("similarity", 4).alias("similarity"), (F.col("tgt") != "").alias("accepted"))
+
+
 @query("pivot_compose", sql="""
 WITH en_tl AS (
   SELECT DISTINCT u.text AS en, a.text AS tl FROM conversations u JOIN conversations a

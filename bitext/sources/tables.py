@@ -13,3 +13,14 @@ def load_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     """Lazy parquet scan; column pruning and filter pushdown are Catalyst's,
     the size of a split is the session's (``spark.sql.files.*``)."""
     return spark.read.parquet(f"{data_dir.rstrip('/')}/{name}.parquet")
+
+
+def stream_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
+    """The table as a file stream, whether it is one file or a folder of files
+    (a stream reads folders only, so one file is picked out of its folder)."""
+    table = load_table(spark, data_dir, name)
+    folder, one = data_dir.rstrip("/"), f"{name}.parquet"
+    reader = spark.readStream.schema(table.schema)
+    if [f.rsplit("/", 1)[-1] for f in table.inputFiles()] == [one]:
+        return reader.option("pathGlobFilter", one).parquet(folder)
+    return reader.parquet(f"{folder}/{one}")

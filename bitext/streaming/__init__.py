@@ -1,5 +1,6 @@
 """Structured Streaming jobs."""
 
 from .incremental import incremental_translate
+from .runlog import early_stop_stream, run_verdicts
 
-__all__ = ["incremental_translate"]
+__all__ = ["early_stop_stream", "incremental_translate", "run_verdicts"]
