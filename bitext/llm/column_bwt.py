@@ -119,19 +119,30 @@ def _texts(col, length: int, key: int):
 
 
 def _survey(length: int, key: int):
-    """(doc_id, h, g, text) -> per row its size, digest and anchor hashes, a
-    hash twice when the text itself has it more than once."""
+    """(doc_id, h, g, text) -> per row its size, digest and anchors, each with
+    the number of segments that ``_segments`` would send for it (2 at least
+    when the text has it more than once)."""
     def run(batches):
         for batch in batches:
-            sizes, digests, flat, ends = [], [], [np.zeros(0, np.uint64)], [0]
-            for text, (_, _, _, hashes) in _texts(batch.column(3), length, key):
+            sizes, digests, ends = [], [], [0]
+            flat, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for text, (place, first, last, hashes) in _texts(batch.column(3), length, key):
                 sizes.append(len(text))
                 digests.append(hashlib.sha256(text).hexdigest())
-                found, times = np.unique(hashes, return_counts=True)
-                found = np.repeat(found, np.minimum(times, 2))
+                found, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
+                often = np.flatnonzero(times[which] > 2)
+                if len(often):  # equal segments are sent once
+                    segment = tk.piece_hashes(text, first[often], last[often] + length)
+                    segment ^= tk.mix64((place - first)[often].astype(np.uint64))
+                    differ = np.unique(np.rec.fromarrays((which[often], segment)))
+                    times = np.minimum(times, 2)
+                    times = np.maximum(times, np.bincount(differ.f0, minlength=len(found)))
                 flat.append(found)
+                counts.append(times)
                 ends.append(ends[-1] + len(found))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat).view(np.int64)))
+            each = pa.StructArray.from_arrays([pa.array(np.concatenate(flat).view(np.int64)),
+                                               pa.array(np.concatenate(counts).astype(np.int32))], ["anchor", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), lists],
                 names=["doc_id", "h", "g", "n_bytes", "digest", "anchors"])
@@ -337,9 +348,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY, chunk:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"),
                        F.xxhash64(F.lit(1), text).alias("g"), text.alias("text"))
     rows = materialize(docs.mapInArrow(_survey(length, key), "doc_id long, h long, g long, n_bytes long, digest string, "
-                                                             "anchors array<long>"), "bwt-survey")
-    found = rows.select("h", "g", "anchors").dropDuplicates(["h", "g"]).select("h", "g", F.explode("anchors").alias("anchor"))
-    twice = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+                                                             "anchors array<struct<anchor: long, n: int>>"), "bwt-survey")
+    found = rows.select("h", "g", "anchors").dropDuplicates(["h", "g"]).select("h", "g", F.inline("anchors"))
+    twice = materialize(found.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1")
                         .select("anchor", (F.col("n") > max_group).alias("hot")), "bwt-anchors")
     texts = docs.groupBy("h", "g").agg(F.first("text").alias("text"))
 

@@ -178,7 +178,7 @@ def brute_cut(texts, length):
 @pytest.mark.parametrize("max_group,chunk", [(100_000, 32_768), (3, 20)])
 def test_repeats_equal_brute_force(frame, max_group, chunk):
     rng = random.Random(3)
-    passage, texts = text(rng, 30), [t for _, t in EDGE[:-1]] + ["ab" * 90, "For " * 60, "é" * 45]
+    passage, texts = text(rng, 30), [t for _, t in EDGE] + ["ab" * 90, "For " * 60, "é" * 45]
     for _ in range(60):
         texts.append(text(rng, 20, 50) + rng.choice([" ", passage[: rng.randrange(len(passage))]]) + text(rng, 15, 50))
     texts += texts[-5:]
@@ -187,6 +187,23 @@ def test_repeats_equal_brute_force(frame, max_group, chunk):
     assert [got[i] for i in range(len(texts))] == brute_cut(texts, 24)
 
 
+def test_segments_of_an_anchor_are_counted(frame):
+    """A header that one text has many times, between neighbours that differ,
+    counts once a segment; equal segments of a periodic text count as two."""
+    rng = random.Random(5)
+    header = "=" * 4 + "Kq7" + "=" * 4
+    many = "".join(header + text(rng, 6, 50) for _ in range(40))
+    rows = [(i, i, i, t) for i, t in enumerate([many, "ab" * 300, text(rng, 40, 5000)])]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["doc_id", "h", "g", "text"])
+    found = next(column_bwt._survey(24, 7)([batch])).column(5).to_pylist()
+    sent = [len([x for x in b.column(6) if x.is_valid]) for b in column_bwt._segments(24, 7)([
+        pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([t]), pa.array([[x["anchor"] for x in f]])],
+                                   names=["h", "g", "text", "wanted"]) for (*_, t), f in zip(rows, found)])]
+    total = [sum(x["n"] for x in f) for f in found]
+    assert total[0] == sent[0] and max(x["n"] for x in found[0]) >= 30
+    assert sent[1] <= total[1] <= 4 and total[2] == sent[2]
+
+
 def test_repeats_empty(frame):
     assert column_bwt.remove_repeats(frame([])).count() == 0
     assert [r.n_removed for r in column_bwt.remove_repeats(frame([(None, None), (1, "x")])).collect()] == [0, 0]
