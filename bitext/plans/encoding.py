@@ -10,6 +10,7 @@ from ..operators import subwords as W
 from ..operators import vocab as V
 from ..operators.pairs import clean_pairs, turn_pairs
 from ..operators.runs import batch_number
+from ..operators.counting import StageCounts
 from ..operators.split import SEED, TEST_SIZE, split_exact
 from ..operators.synth import split_augmented
 from ..sources.contracts import require_columns
@@ -196,6 +197,24 @@ def q_prepare_corpus(spark: SparkSession, data_dir: str) -> DataFrame:
         "pair_id", "split", ids_to_text("input_ids").alias("input_ids"), ids_to_text("labels").alias("labels"))
 
 
+@query("prepare_counts", sql=f"""
+WITH {S.turn_pairs_cte("every", clean=False)}, {S.turn_pairs_cte()}
+SELECT 'pairs' AS stage, count(*) AS n_rows FROM every UNION ALL
+SELECT 'clean', count(*) FROM pairs UNION ALL
+SELECT 'split', count(*) FROM pairs UNION ALL
+SELECT 'test', CAST(ceil(CAST({TEST_SIZE} AS DOUBLE) * count(*)) AS BIGINT) FROM pairs UNION ALL
+SELECT 'train', count(*) - CAST(ceil(CAST({TEST_SIZE} AS DOUBLE) * count(*)) AS BIGINT) FROM pairs
+""")
+def q_prepare_counts(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Rows of the preparation's stages, counted by the jobs that write them."""
+    counts = StageCounts()
+    paired = counts.watch(turn_pairs(load_table(spark, data_dir, "conversations")), "pairs")
+    pairs = materialize(counts.watch(clean_pairs(paired), "clean").select("pair_id", "src", "tgt"), "counted-pairs")
+    split = split_exact(pairs, "pair_id", TEST_SIZE, SEED)
+    materialize(counts.watch(split, "split", {s: F.col("split") == s for s in ("test", "train")}), "counted-split")
+    return counts.table(spark)
+
+
 @query("mask_out_of_vocab", sql=f"""
 WITH {S.turn_pairs_cte()},
 {_PAIR_VOCAB_SQL},

@@ -13,6 +13,7 @@ from ..operators.lexicon import BAND, BEAM, fit_lexicon, fit_lexicons, top_k
 from ..operators.pairs import clean_pairs, turn_chains, turn_pairs
 from ..operators.similarity import dense_cosine, token_cosine, with_token_cosine
 from ..operators.split import SEED, TEST_SIZE, split_exact
+from ..operators.sketch import BINS, merge_sketches, score_sketch, sketch_quantiles, sketch_threshold
 from ..operators.synth import THRESHOLD, augment, compose_pivot, gate_blank, gate_stats
 from ..operators.translate import map_rows, translate
 from ..operators.wordvec import fit_sentence_vectors, vector_similarity
@@ -219,6 +220,52 @@ def q_gate_stats(spark: SparkSession, data_dir: str) -> DataFrame:
                      *[F.round(c, 6).alias(c) for c in ("acceptance_rate", "mean_sim", "p10", "p50", "p90")])
 
 
+_PAIRINGS = (("next", 1), ("second", 2))
+_ACCEPT = 5
+
+
+@query("gate_sketch", sql=f"""
+WITH sims AS (
+  SELECT s.strategy, a.label, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))
+       / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))
+              * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS similarity
+  FROM (VALUES ('next', 1), ('second', 2)) s(strategy, k), embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + s.k),
+grouped AS (SELECT strategy, label, similarity FROM sims UNION ALL SELECT strategy, NULL, similarity FROM sims),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY strategy, label ORDER BY similarity) AS r,
+         count(*) OVER (PARTITION BY strategy, label) AS n FROM grouped),
+steps AS (SELECT *, least({BINS} - 1, greatest(0, floor((similarity + 1) * {BINS // 2}))) AS bin FROM ranked),
+limits AS (
+  SELECT strategy, label, n, coalesce(max(bin) FILTER (WHERE r = n - {_ACCEPT} + 1), 0) AS cut,
+         {", ".join(f"max(bin) FILTER (WHERE r = (n * {p} + 99) // 100) AS b{p}" for p in (10, 50, 90))}
+  FROM steps GROUP BY strategy, label, n)
+SELECT l.strategy, l.label, l.n, {", ".join(f"-1 + (l.b{p} + 0.5) * CAST(2 AS DOUBLE) / {BINS} AS p{p}" for p in (10, 50, 90))},
+       -1 + l.cut * CAST(2 AS DOUBLE) / {BINS} AS threshold,
+       (SELECT count(*) FROM steps s WHERE s.strategy = l.strategy AND s.label IS NOT DISTINCT FROM l.label
+          AND s.bin >= l.cut) AS accepted
+FROM limits l
+""")
+def q_gate_sketch(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Similarities by (strategy, label) kept as one written sketch a strategy,
+    as runs on different days would; quantiles and the threshold that accepts
+    N pairs come from the sketches merged, per label and over all labels."""
+    e = load_table(spark, data_dir, "embeddings")
+    a = e.select("vec_id", "label", F.col("embedding").alias("a"))
+    kept = []
+    for strategy, k in _PAIRINGS:
+        b = e.select((F.col("vec_id") - k).alias("vec_id"), F.col("embedding").alias("b"))
+        sims = dense_cosine(a.join(b, "vec_id"), "a", "b", "similarity")
+        kept.append(materialize(score_sketch(sims.withColumn("strategy", F.lit(strategy)), ["strategy", "label"]), "gate-sketch"))
+    by_label = merge_sketches(kept, ["strategy", "label"])
+    overall = merge_sketches(kept, ["strategy"]).withColumn("label", F.lit(None).cast(e.schema["label"].dataType))
+    every = by_label.unionByName(overall)
+    keys = ["strategy", "label"]
+    q, t = sketch_quantiles(every, keys), sketch_threshold(every, keys, _ACCEPT)
+    t = t.select(F.col("strategy").alias("_s"), F.col("label").alias("_l"), "threshold", "accepted")
+    return (q.join(t, q["strategy"].eqNullSafe(t["_s"]) & q["label"].eqNullSafe(t["_l"]))
+             .select(*keys, "n", "p10", "p50", "p90", "threshold", "accepted"))
+
+
 @query("sentence_similarity")
 def q_sentence_similarity(spark: SparkSession, data_dir: str) -> DataFrame:
     """Pairs gated by the cosine of sentence vectors learned from both sides."""
