@@ -99,6 +99,24 @@ def test_row_number_by_matches_window(spark):
         sorted(map(tuple, want.select("doc_id", "rn").collect()))
 
 
+def test_large_vocabulary_is_not_broadcast(spark, monkeypatch):
+    """Beyond the bound the words meet in a plain join, with equal rows."""
+    from bitext.operators import vocab as V
+    df = spark.createDataFrame([(i, "hot " * 50 + f"w{i % 7}") for i in range(60)] + [(99, None), (100, "")], "k long, s string")
+    vocab = V.fit_vocab(df, ["s"], 6)
+
+    def both():
+        ids = V.encode(df, "k", "s", vocab, "ids")
+        text = V.decode(ids, "k", "ids", vocab)
+        hints = ids._jdf.queryExecution().logical().toString() + text._jdf.queryExecution().logical().toString()
+        return sorted(map(str, ids.collect())), sorted(map(str, text.collect())), "ResolvedHint" in hints or "UnresolvedHint" in hints
+
+    small = both()
+    monkeypatch.setattr(V, "BROADCAST_BYTES", 10)
+    large = both()
+    assert small[2] and not large[2] and small[:2] == large[:2]
+
+
 def test_encode_decode_and_padding(spark):
     df = spark.createDataFrame([(1, "a b c", "x y"), (2, "c a zz", "y y y")], "k long, s string, t string")
     vocab = fit_vocab(df, ["s", "t"], 4)  # y, a, c, b: x and zz fall out
