@@ -60,6 +60,11 @@ class Ledger:
         from pyarrow import fs
         return self.fs.get_file_info(self._at(*names)).type == fs.FileType.File
 
+    def open(self) -> None:
+        """The folders that readers expect, also before the first epoch."""
+        for name in ("rows", "epochs"):
+            self.fs.create_dir(self._at(name), recursive=True)
+
     def _put(self, text: str, *names: str) -> None:
         """A small file that is there whole or not at all."""
         self.fs.create_dir(self._at(names[0]), recursive=True)

@@ -15,12 +15,15 @@ def load_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{data_dir.rstrip('/')}/{name}.parquet")
 
 
-def stream_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
+def stream_table(spark: SparkSession, data_dir: str, name: str, bytes_per_trigger: int | None = None) -> DataFrame:
     """The table as a file stream, whether it is one file or a folder of files
-    (a stream reads folders only, so one file is picked out of its folder)."""
+    (a stream reads folders only, so one file is picked out of its folder).
+    ``bytes_per_trigger`` bounds a micro-batch (one file at least)."""
     table = load_table(spark, data_dir, name)
     folder, one = data_dir.rstrip("/"), f"{name}.parquet"
     reader = spark.readStream.schema(table.schema)
+    if bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", str(bytes_per_trigger))
     if [f.rsplit("/", 1)[-1] for f in table.inputFiles()] == [one]:
         return reader.option("pathGlobFilter", one).parquet(folder)
     return reader.parquet(f"{folder}/{one}")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.runs import running_progress
-from ..sources.append import FORMAT, AppendSource, appended_epochs
+from ..sources.append import FORMAT, AppendSource, Ledger, appended_epochs
 
 
 def append_stream(rows: DataFrame, path: str, checkpoint_path: str, sep: str = "\t", header: bool = False,
@@ -14,6 +14,7 @@ def append_stream(rows: DataFrame, path: str, checkpoint_path: str, sep: str = "
     """Append what ``rows`` (a streaming DataFrame) holds now, each row once
     however often this is killed and called again; returns the finished query."""
     rows.sparkSession.dataSource.register(AppendSource)
+    Ledger(path).open()
     q = (rows.writeStream.format(FORMAT).outputMode("append").option("path", path).option("sep", sep)
          .option("header", str(header).lower()).option("checkpointLocation", checkpoint_path)
          .trigger(availableNow=True).start())

@@ -96,7 +96,7 @@ def test_stream_killed_in_a_batch(spark, tmp_path):
 
     with pytest.raises(Exception):
         run()
-    assert not os.path.exists(f"{out}/rows")
+    assert os.listdir(f"{out}/rows") == []
     open(flag, "w").close()
     run()
     os.remove(f"{ck}/commits/0")  # as if it had died just before noting the epoch
@@ -112,6 +112,26 @@ def test_stream_killed_in_a_batch(spark, tmp_path):
     assert [r.done for r in done] == [500, 600] and done[0].rows_per_s is None and done[1].eta_s > 0
 
 
+def test_stream_of_nothing(spark, tmp_path):
+    spark.range(0).selectExpr("id", "'x' AS t").write.parquet(f"{tmp_path}/in/a")
+    stream = spark.readStream.schema("id long, t string").parquet(f"{tmp_path}/in/*")
+    append_stream(stream, f"{tmp_path}/out", f"{tmp_path}/ck")
+    assert read_appended(spark, f"{tmp_path}/out", "id long, t string").count() == 0
+
+
+def test_table_of_many_files_as_stream(spark, tmp_path):
+    from bitext.plans import ORACLE_SQL, QUERIES, catalog  # noqa: F401
+    rows = [(i, f"line {i}\n\nsecond {i}", None if i % 3 else "en") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    df.repartition(5).write.parquet(f"{tmp_path}/many/documents.parquet")
+    df.coalesce(1).write.parquet(f"{tmp_path}/tmp")
+    (tmp_path / "one").mkdir()
+    part = [f for f in os.listdir(tmp_path / "tmp") if f.endswith(".parquet")][0]
+    (tmp_path / "one" / "documents.parquet").write_bytes((tmp_path / "tmp" / part).read_bytes())
+    got = [rows_of(QUERIES["append_stream"](spark, str(tmp_path / d))) for d in ("many", "one")]
+    assert got[0] == got[1] and sum(got[0].values()) == 80
+
+
 def test_sketch_against_sorted_scores(spark):
     rng = random.Random(2)
     rows = [(g, rng.choice([rng.uniform(-1, 1), round(rng.gauss(0.7, 0.1), 2)])) for g in ("a", "b", None) for _ in range(700)]
