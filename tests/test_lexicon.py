@@ -84,3 +84,32 @@ def test_fit_lexicons_both_directions(spark):
     want_b = R.ibm1([(t, s) for _, s, t in TINY], 2, 16)
     assert a.keys() == want_a.keys() and b.keys() == want_b.keys()
     assert all(math.isclose(a[k], want_a[k]) for k in a) and all(math.isclose(b[k], want_b[k]) for k in b)
+
+
+def test_fit_writes_words_not_word_pairs(spark):
+    """The tables written for a fit grow with the texts and their words, not
+    with the (source, target) pairs of words."""
+    import os
+    from bitext.session import checkpoint_dir
+    data = [(i, " ".join(f"s{(i * 37 + j) % 400}" for j in range(60)), " ".join(f"t{(i * 53 + j) % 400}" for j in range(60)))
+            for i in range(200)]
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = fit_lexicon(spark.createDataFrame(data, "k long, s string, t string"), "k", "s", "t", 3)
+    assert out.count() > 50_000
+    written = sum(spark.read.parquet(os.path.join(folder, d)).count() for d in set(os.listdir(folder)) - before if d.startswith("em-"))
+    assert written < 5_000
+
+
+def test_blocks_and_steps_of_any_size_give_the_same_lexicon(spark):
+    from bitext.operators.lexicon import _fit_blocks, _prepare
+    data = [(i, " ".join(f"s{(i * 7 + j) % 23}" for j in range(2 + i)), "common " * (1 + i % 3) + " ".join(f"t{(i * 5 + j) % 19}" for j in range(i)))
+            for i in range(12)]
+    data += [data[3], (None, "s1 s2", "common t1")]
+    tok, dicts, hashed = _prepare(spark.createDataFrame(data, "k long, s string, t string"), "k", "s", "t", True, True)
+    want = R.ibm1([(s, t) for _, s, t in data], 3, None)
+    for block, step in ((100, 1), (50, 40), (10**6, 10**6)):
+        got = {(r[0], r[1]): r[2] for r in _fit_blocks(tok, dicts, 3, None, True, block, step).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
+    least = {(r[0], r[1]): r[2] for r in _fit_blocks(tok, dicts, 3, 0.05, True).collect()}
+    assert 0 < len(least) < len(want) and min(least.values()) >= 0.05
