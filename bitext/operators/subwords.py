@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,9 @@ from ..functions.ids import IGNORE_ID, attention_mask, mask_labels, pad_fixed
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: A larger file is refused, since it goes to every task.
 MAX_FILE_BYTES = 64 << 20
+#: Characters (ids, when decoding) that a task has in work at a time: an encoded
+#: text takes over a hundred bytes a character until its ids are taken out.
+PIECE = 1 << 18
 
 
 def read_vocabulary(path: str = VOCABULARY) -> str:
@@ -40,6 +44,14 @@ def _tokenizer(content: str):
     return t
 
 
+def _pieces(s: pd.Series, most: int) -> Iterator[pd.Series]:
+    """A batch in runs of rows of about ``most`` characters or ids (one row at least)."""
+    size = np.cumsum([0 if x is None else len(x) for x in s])
+    cuts = np.flatnonzero(np.diff(size // most)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(s)]):
+        yield s.iloc[lo:hi]
+
+
 def subword_ids(text, path: str = VOCABULARY):
     """Column of ids (null text: null)."""
     content = read_vocabulary(path)
@@ -47,12 +59,13 @@ def subword_ids(text, path: str = VOCABULARY):
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         t = _tokenizer(content)
-        for s in batches:
-            out = pd.Series([None] * len(s), dtype=object)
-            at = s.notna().to_numpy().nonzero()[0]
-            for i, e in zip(at, t.encode_batch(s.iloc[at].tolist(), add_special_tokens=False)):
-                out.iat[i] = e.ids
-            yield out
+        for batch in batches:
+            for s in _pieces(batch, PIECE):
+                out = pd.Series([None] * len(s), dtype=object)
+                at = s.notna().to_numpy().nonzero()[0]
+                for i, e in zip(at, t.encode_batch(s.iloc[at].tolist(), add_special_tokens=False)):
+                    out.iat[i] = np.array(e.ids, np.int32)
+                yield out
     return run(text)
 
 
@@ -63,9 +76,10 @@ def subword_text(ids, path: str = VOCABULARY):
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         t = _tokenizer(content)
-        for s in batches:
-            yield pd.Series([None if x is None else t.decode([int(i) for i in x if i != IGNORE_ID], skip_special_tokens=False)
-                             for x in s], dtype=object)
+        for batch in batches:
+            for s in _pieces(batch, PIECE):
+                yield pd.Series([None if x is None else t.decode([int(i) for i in x if i != IGNORE_ID], skip_special_tokens=False)
+                                 for x in s], dtype=object)
     return run(ids)
 
 

@@ -124,3 +124,20 @@ def test_large_vocabulary_files_are_refused(tmp_path, monkeypatch):
     (tmp_path / "v.json").write_text("four")
     with pytest.raises(ValueError):
         subwords.read_vocabulary(str(tmp_path / "v.json"))
+
+
+def test_subwords_work_on_bounded_pieces():
+    import pandas as pd
+    texts = pd.Series(["ab " * 50, None, "", "x" * 900, *["word "] * 300])
+    pieces = list(subwords._pieces(texts, 200))
+    assert pd.concat(pieces).index.tolist() == texts.index.tolist()
+    assert all(sum(len(x or "") for x in p) <= 200 + max(len(x or "") for x in p) for p in pieces)
+    assert max(len(p) for p in pieces if len(p.iloc[-1] or "") == 5) <= 41
+
+
+def test_subword_columns_over_many_pieces(spark, monkeypatch):
+    monkeypatch.setattr(subwords, "PIECE", 64)
+    rows = [(i, None if i % 7 == 0 else f"Größe {i} " * (i % 11)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, t string").coalesce(1)
+    got = {r.k: r.back for r in subwords.encode_subwords(df, "t", "ids").withColumn("back", subwords.subword_text("ids")).collect()}
+    assert got == {k: t or "" for k, t in rows}
