@@ -61,11 +61,11 @@ def subword_ids(text, path: str = VOCABULARY):
         t = _tokenizer(content)
         for batch in batches:
             for s in _pieces(batch, PIECE):
-                out = pd.Series([None] * len(s), dtype=object)
+                out = [None] * len(s)
                 at = s.notna().to_numpy().nonzero()[0]
                 for i, e in zip(at, t.encode_batch(s.iloc[at].tolist(), add_special_tokens=False)):
-                    out.iat[i] = np.array(e.ids, np.int32)
-                yield out
+                    out[i] = np.array(e.ids, np.int32)
+                yield pd.Series(out, dtype=object)
     return run(text)
 
 
