@@ -489,3 +489,18 @@ def test_maglev(frame):
         slot = int(hashlib.md5(("" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()[:15], 16) % 1009
         assert (r.slot, r.shard) == (slot, owner[slot])
     assert maglev.place(frame([]), names).count() == 0
+
+
+def test_pairwise_quality_learns_from_every_labelled_document(spark, frame, monkeypatch):
+    """The differences hold each labelled training document, however many there are."""
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(pairwise_quality, "SAMPLE_ROWS", 10, raising=False)
+    rows = [(i, ("fine words of a text, number " if i % 3 else "$$ ## ") * 8 + str(i)) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(120)], "doc_id long, quality int")
+    seen, fit = [], pairwise_quality.fit_weights
+    monkeypatch.setattr(pairwise_quality, "fit_weights", lambda d, *a: seen.append(d.count()) or fit(d, *a))
+    out = pairwise_quality.score_documents(frame(rows), labels, F.col("doc_id") % 5 == 0).collect()
+    assert seen == [96 * pairwise_quality.OPPONENTS]
+    assert len(out) == 120 and all(r.predicted == int(r.doc_id % 3 > 0) for r in out)
+    train = sorted(r.score for r in out if not r.held_out)
+    assert train[31] < pairwise_quality.THRESHOLD <= train[32]  # 32 bad ones train
