@@ -113,3 +113,22 @@ def test_blocks_and_steps_of_any_size_give_the_same_lexicon(spark):
         assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
     least = {(r[0], r[1]): r[2] for r in _fit_blocks(tok, dicts, 3, 0.05, True).collect()}
     assert 0 < len(least) < len(want) and min(least.values()) >= 0.05
+
+
+def test_best_keeps_what_top_k_returns_and_little_more(spark):
+    data = [(i, " ".join(f"s{(i * 7 + j * j) % 41}" for j in range(3 + i % 9)),
+             "common " * (1 + i % 3) + " ".join(f"t{(i * 5 + j) % 37} once{i}x{j}" for j in range(4 + i % 7))) for i in range(60)]
+    data += [data[3], (None, "s1 s2 only", "common t1")]
+    df = spark.createDataFrame(data, "k long, s string, t string")
+    rows = lambda d: sorted((r["src_token"], r["rank"], r["tgt_token"], round(r["p"], 9)) for r in d.collect())
+    whole = fit_lexicon(df, "k", "s", "t", 4).cache()
+    for best in (1, 5):
+        part = fit_lexicon(df, "k", "s", "t", 4, best=best).cache()
+        assert rows(top_k(part, best)) == rows(top_k(whole, best))
+        # what is left: the best, and what is equal to the last of them at 9 places
+        least = top_k(whole, best).groupBy("src_token").agg(F.min("p").alias("least"))
+        assert part.count() <= whole.join(least, "src_token").where("p >= least - 3e-9").count() < whole.count() / 2
+    one = fit_lexicon(df, "k", "s", "t", 1, best=5)
+    assert rows(top_k(one, 5)) == rows(top_k(fit_lexicon(df, "k", "s", "t", 1), 5))
+    few = fit_lexicon(df, "k", "s", "t", 3, min_prob=0.05, best=5)
+    assert rows(top_k(few, 5)) == rows(top_k(fit_lexicon(df, "k", "s", "t", 3, min_prob=0.05), 5))
