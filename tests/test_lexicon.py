@@ -132,3 +132,33 @@ def test_best_keeps_what_top_k_returns_and_little_more(spark):
     assert rows(top_k(one, 5)) == rows(top_k(fit_lexicon(df, "k", "s", "t", 1), 5))
     few = fit_lexicon(df, "k", "s", "t", 3, min_prob=0.05, best=5)
     assert rows(top_k(few, 5)) == rows(top_k(fit_lexicon(df, "k", "s", "t", 3, min_prob=0.05), 5))
+
+
+def test_translation_shuffles_texts_not_their_words(spark):
+    """Words of a text are no rows of a shuffle: a chunk asks once for each
+    distinct word; texts of one key are merged and null keys stay empty."""
+    from bitext.operators.translate import translate
+    lex = spark.createDataFrame([("la", "the"), ("maison", "house"), ("mute", "")], "src_token string, tgt_token string")
+    df = spark.createDataFrame([(1, "La maison zzz la"), (2, ""), (3, None), (4, "x mute y"), (4, "la maison la"), (None, "la"), (5, "... !"),
+                                (6, "é_la 9")], "k long, s string")
+    got = sorted(((r["k"], r["s"], r["o"]) for r in translate(df, "s", lex, "o", key="k").collect()), key=str)
+    assert got == sorted([(1, "La maison zzz la", "the house zzz the"), (2, "", ""), (3, None, ""), (4, "x mute y", "the x  house the y"),
+                          (4, "la maison la", "the x  house the y"), (None, "la", ""), (5, "... !", ""), (6, "é_la 9", "é the 9")], key=str)
+    many = spark.range(400).select("id", F.lit("la maison zzz " * 500).alias("s"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with a large lexicon
+    try:
+        out = translate(many, "s", lex, "o", key="id")
+        assert [r["o"] for r in out.collect()] == [("the house zzz " * 500).strip()] * 400
+        assert _shuffled(out._jdf.queryExecution().executedPlan()) < 5_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _shuffled(node) -> int:
+    """Rows that the shuffles of an executed plan wrote."""
+    inner = {"AdaptiveSparkPlan": "executedPlan", "ShuffleQueryStage": "plan", "BroadcastQueryStage": "plan"}.get(node.nodeName())
+    if inner:
+        return _shuffled(getattr(node, inner)())
+    own = node.metrics().apply("shuffleRecordsWritten").value() if node.metrics().contains("shuffleRecordsWritten") else 0
+    children = node.children()
+    return own + sum(_shuffled(children.apply(i)) for i in range(children.size()))
