@@ -187,6 +187,22 @@ def test_repeats_equal_brute_force(frame, max_group, chunk):
     assert [got[i] for i in range(len(texts))] == brute_cut(texts, 24)
 
 
+def test_planted_passages_of_over_50_words(frame):
+    """At the contract's length: a passage that two documents share goes when
+    it has 400 bytes, whatever its words; n_bytes is the size before."""
+    rng = random.Random(21)
+    passages = [text(rng, n) for n in (51, 55, 60, 65, 70, 80, 100, 150)]
+    texts = [text(rng, rng.randrange(80, 300)) for _ in range(24)]
+    for p in passages * 2:
+        texts.append("\n".join((text(rng, 70), p, text(rng, 70))))
+    out = column_bwt.remove_repeats(frame(list(enumerate(texts)))).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out}
+    assert [got[i] for i in range(len(texts))] == brute_cut(texts, column_bwt.LENGTH)
+    assert all(got[i][1] == 0 and got[i][0] == len(texts[i]) for i in range(24))
+    long = [len(p) >= column_bwt.LENGTH for p in passages]
+    assert [got[24 + i][1] > 0 for i in range(16)] == long * 2 and 0 < sum(long) < len(long)
+
+
 def test_segments_of_an_anchor_are_counted(frame):
     """A header that one text has many times, between neighbours that differ,
     counts once a segment; equal segments of a periodic text count as two."""
