@@ -203,6 +203,45 @@ def test_planted_passages_of_over_50_words(frame):
     assert [got[24 + i][1] > 0 for i in range(16)] == long * 2 and 0 < sum(long) < len(long)
 
 
+def brute_shared(texts, words):
+    """Number of words in a run of ``words`` words that another row has too."""
+    rows = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) for t in texts]
+    grams = [[tuple(w[i: i + words]) for i in range(len(w) - words + 1)] for w in rows]
+    owners = Counter(x for g in grams for x in set(g))
+    return [len({j for i, x in enumerate(g) if owners[x] > 1 for j in range(i, i + words)}) for g in grams]
+
+
+@pytest.mark.parametrize("max_group,chunk", [(100_000, 32_768), (3, 20)])
+def test_shared_passages_equal_brute_force(frame, max_group, chunk):
+    rng = random.Random(4)
+    passage = text(rng, 40)
+    texts = [t for _, t in EDGE] + ["x " * 90, "a b " * 60, "a b\t" * 30, passage + " . " + passage]
+    for _ in range(60):
+        part = passage[: rng.randrange(len(passage))]
+        texts.append(text(rng, 20, 50) + " " + rng.choice([part, part.upper(), part.replace(" ", " \n ")]) + " " + text(rng, 15, 50))
+    texts += texts[-5:] + [f"{t} {t}" for t in [text(rng, 40, 5000)]]
+    docs = frame(list(enumerate(texts)))
+    got = {r.doc_id: r for r in column_bwt.remove_repeats(
+        docs, length=24, key=7, max_group=max_group, chunk=chunk, words=12).collect()}
+    want = brute_shared(texts, 12)
+    assert [got[i].n_shared_words for i in range(len(texts))] == want and 0 in want and want[-1] == 0
+    assert [tuple(got[i])[1:5] for i in range(len(texts))] == brute_cut(texts, 24)
+
+
+def test_shared_passages_of_over_50_words_are_told(frame, tmp_path):
+    """op3 tells every document with a passage of over 50 words that another
+    has, also one of fewer than 400 bytes, which stays in the text."""
+    rng = random.Random(22)
+    passages = [text(rng, n) for n in (50, 51, 55, 60, 80, 150)]
+    texts = [text(rng, rng.randrange(80, 300)) for _ in range(12)] + [
+        "\n".join((text(rng, 70), p, text(rng, 70))) for p in passages * 2]
+    frame(list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in column_bwt.op3(frame([]).sparkSession, str(tmp_path)).collect()}
+    assert [got[i].n_shared_words for i in range(24)] == [0] * 12 + [0, 51, 55, 60, 80, 150] * 2
+    assert [tuple(got[i])[1:5] for i in range(24)] == brute_cut(texts, column_bwt.LENGTH)
+    assert any(got[i].n_shared_words and not got[i].n_removed for i in range(12, 24))
+
+
 def test_segments_of_an_anchor_are_counted(frame):
     """A header that one text has many times, between neighbours that differ,
     counts once a segment; equal segments of a periodic text count as two."""
