@@ -61,6 +61,8 @@ CHUNK = 32_768
 #: Segments of one anchor that one task builds.  Strings of a more frequent
 #: anchor are counted by their hash instead, which any number of tasks can do.
 MAX_GROUP = 100_000
+#: Bits of the bitmap that keeps texts out of a shuffle (4 MB, broadcast).
+BITS = 1 << 25
 _PAD = 0xFF  # never a UTF-8 byte
 
 _BYTE = (tk.mix64(np.arange(256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -451,6 +453,18 @@ def _cut(batches):
         yield _batch(rows, _CUT)
 
 
+def _perhaps_in(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose h is not in ``some``, and with all
+    others: a join after it shuffles few texts that it would drop."""
+    at = F.pmod(F.col("h"), F.lit(BITS)) + 1  # bitmap functions count from 1
+    bits = (some.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
+            .repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")))
+    byte = F.substring("bits", (F.shiftright(F.bitmap_bit_position(at), 3) + 1).cast("int"), F.lit(1))
+    mask = F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (F.bitmap_bit_position(at) % 8 + 1).cast("int"))
+    return (docs.withColumn("bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bits), "bucket")
+            .filter(F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(mask) > 0).select(docs.columns))
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY, chunk: int = CHUNK,
                    max_group: int = MAX_GROUP, words: int | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256
@@ -465,15 +479,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY, chunk:
     rows = materialize(docs.mapInArrow(_survey(length, key, words),
                                        "doc_id long, h long, g long, n_bytes long, digest string, "
                                        "anchors array<struct<anchor: long, n: int>>, n_words long"), "bwt-survey")
-    found = rows.select("h", "g", "anchors").dropDuplicates(["h", "g"]).select("h", "g", F.inline("anchors"))
+    once = rows.select("h", "g", "anchors").dropDuplicates(["h", "g"]).select(F.inline("anchors"))
+    found = rows.select("h", "g", F.inline("anchors")).drop("n")  # a text's copies are made one by the set of wanted
     of_words = F.col("anchor").bitwiseAND(1) == 1  # these must be in two texts
-    twice = materialize(found.groupBy("anchor").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
+    twice = materialize(once.groupBy("anchor").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
                         .filter(F.when(of_words, F.col("texts")).otherwise(F.col("n")) > 1)
                         .select("anchor", (F.col("n") > max_group).alias("hot")), "bwt-anchors")
-    texts = docs.groupBy("h", "g").agg(F.first("text").alias("text"))
 
     def around(some: DataFrame) -> DataFrame:
-        wanted = found.join(some.select("anchor"), "anchor").groupBy("h", "g").agg(F.collect_set("anchor").alias("wanted"))
+        wanted = materialize(found.join(some.select("anchor"), "anchor").groupBy("h", "g")
+                             .agg(F.collect_set("anchor").alias("wanted")), "bwt-wanted")
+        texts = _perhaps_in(docs.select("h", "g", "text"), wanted).groupBy("h", "g").agg(F.first("text").alias("text"))
         return texts.join(wanted, ["h", "g"]).select("h", "g", "text", "wanted")
 
     segments = around(twice.filter("not hot")).mapInArrow(
@@ -491,7 +507,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY, chunk:
             "h", "g", "start", (F.col("start") + F.when(F.col("words"), words or 0).otherwise(length)).alias("end"), "words"))
     ranges = materialize(repeated.groupBy("h", "g").agg(
         F.collect_list(F.struct("start", "end", "words")).alias("ranges")), "bwt-ranges")
-    cuts = (docs.select("h", "g", "text").join(ranges, ["h", "g"]).groupBy("h", "g")
+    cuts = (_perhaps_in(docs.select("h", "g", "text"), ranges).join(ranges, ["h", "g"]).groupBy("h", "g")
             .agg(F.first("text").alias("text"), F.first("ranges").alias("ranges"))
             .mapInArrow(_cut, "h long, g long, cut_removed long, cut_spans long, cut_digest string, cut_words long"))
     copies = rows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("copies"))

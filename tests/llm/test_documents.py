@@ -259,6 +259,18 @@ def test_segments_of_an_anchor_are_counted(frame):
     assert sent[1] <= total[1] <= 4 and total[2] == sent[2]
 
 
+def test_bitmap_keeps_every_wanted_text(spark):
+    rng = random.Random(6)
+    hs = [rng.randrange(-1 << 63, 1 << 63) for _ in range(2000)] + [-1, 0, 1, column_bwt.BITS - 1, column_bwt.BITS, -column_bwt.BITS]
+    docs = spark.createDataFrame([(h, 0, str(h)) for h in hs], "h long, g long, text string")
+    some = docs.filter("abs(h % 10) = 1 or h in (0, -1, 1) or h % {0} in (0, {1})".format(column_bwt.BITS, column_bwt.BITS - 1))
+    want = {r.h for r in some.collect()}
+    kept = [tuple(r) for r in column_bwt._perhaps_in(docs, some).collect()]
+    assert want <= {h for h, *_ in kept} and len(kept) < len(want) + 20 and len(kept) == len(set(kept))
+    assert all(t == str(h) for h, _, t in kept)
+    assert column_bwt._perhaps_in(docs, some.limit(0)).count() == 0
+
+
 def test_repeats_empty(frame):
     assert column_bwt.remove_repeats(frame([])).count() == 0
     assert [r.n_removed for r in column_bwt.remove_repeats(frame([(None, None), (1, "x")])).collect()] == [0, 0]
