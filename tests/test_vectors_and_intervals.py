@@ -60,6 +60,33 @@ def test_sentence_vectors_equal_brute_force(spark):
         wordvec.fit_sentence_vectors(df, ["text"], size=10**7)
 
 
+def test_products_are_packed_and_leave_nothing_on_the_driver(spark, monkeypatch):
+    """The sums of a product come in a row a batch, not a row a word, and no
+    block stays in the driver's memory."""
+    import os
+    from types import SimpleNamespace
+    import pyarrow as pa
+    rng = np.random.default_rng(1)
+    dense = np.triu(rng.random((30, 30)) * (rng.random((30, 30)) < 0.7))
+    dense = dense + dense.T
+    a, b = np.nonzero(dense)
+    x = rng.standard_normal((30, 3))
+    rows = pa.record_batch([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(dense[a, b])], names=["a", "b", "w"])
+    for size in (1, 7, 100, 10_000):  # words that lie in several batches
+        batches = [rows.slice(i, size) for i in range(0, len(a), size)] + [rows.slice(0, 0)]
+        out, found = np.zeros_like(x), list(wordvec._multiply(SimpleNamespace(value=x))(iter(batches)))
+        for r in (r for f in found for r in f.to_pylist()):
+            out[np.frombuffer(r["a"], np.int32)] += np.frombuffer(r["v"]).reshape(-1, 3)
+        assert np.allclose(out, dense @ x) and sum(f.num_rows for f in found) <= min(30, len(batches) + 1)
+    sent, plain = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, v: sent.append(plain(self, v)) or sent[-1])
+    matrix = spark.createDataFrame([(int(i), int(j), float(dense[i, j])) for i, j in zip(a, b)], "a int, b int, w double")
+    values, _ = wordvec.leading_vectors(matrix, 30, 2, rounds=40)
+    want = np.linalg.eigvalsh(dense)
+    assert np.allclose(values, want[np.argsort(-np.abs(want))[:2]])
+    assert len(sent) == 41 and not any(os.path.exists(s._path) for s in sent)
+
+
 def test_poisson_weights():
     cuts = resample.poisson_cuts()
     p = np.diff([0, *cuts, 2**32]) / 2**32
