@@ -115,6 +115,43 @@ def test_blocks_and_steps_of_any_size_give_the_same_lexicon(spark):
     assert 0 < len(least) < len(want) and min(least.values()) >= 0.05
 
 
+def test_memory_of_a_block_does_not_grow_with_its_pairs():
+    """A block's pairs go through a task without staying in its memory; a word
+    that all pairs have is worked in pieces."""
+    import tracemalloc
+    import numpy as np
+    import pyarrow as pa
+    from bitext.operators import lexicon as L
+    rng = np.random.default_rng(2)
+    e, f = (np.unique(rng.integers(-2**62, 2**62, 600)) for _ in range(2))
+
+    def rows(n):
+        """The words with their sums, then n pairs, all of which have f[0]."""
+        some = np.array([None] * len(e), object)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([0] * len(e), pa.int32()), pa.array([0] * len(e), pa.int32()), pa.array(e[:, None].tolist(), pa.list_(pa.int64())),
+             pa.array(some, pa.list_(pa.int32())), pa.array(some, pa.list_(pa.int64())), pa.array(some, pa.list_(pa.int32())),
+             pa.array(some, pa.list_(pa.string())), pa.array([[1.0]] * len(e), pa.list_(pa.float64()))],
+            names=["_b", "kind", "s", "n", "f", "m", "token", "past"])
+        for at in range(0, n, 100):
+            s = [rng.choice(e, 40).tolist() for _ in range(100)]
+            t = [[int(f[0]), *rng.choice(f, 39).tolist()] for _ in range(100)]
+            yield from L._dealt(1)(iter([pa.record_batch([pa.array(s), pa.array(t)], names=["_s", "_t"])]))
+
+    def peak(n):
+        run = L._each_block(False, None, 10_000, 2, False, 1, n * 40 // 10_000 + 1)
+        tracemalloc.start()
+        found = pa.Table.from_batches(list(run(rows(n))))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        # each pair's target words have n_f expected counts together
+        assert math.isclose(sum(found["_c"].to_pylist()), 40 * n) and found.num_rows == len(e)
+        return most
+
+    peak(200)
+    assert peak(6_000) < 1.5 * peak(1_000)
+
+
 def test_best_keeps_what_top_k_returns_and_little_more(spark):
     data = [(i, " ".join(f"s{(i * 7 + j * j) % 41}" for j in range(3 + i % 9)),
              "common " * (1 + i % 3) + " ".join(f"t{(i * 5 + j) % 37} once{i}x{j}" for j in range(4 + i % 7))) for i in range(60)]
