@@ -97,6 +97,27 @@ def test_beam_translate_equals_all_paths(spark, lexicon):
             assert got[k][0][0] == want[0][0]
 
 
+def test_search_holds_one_text_at_a_time():
+    """A text's positions and bigrams are rows, so that a batch of rows has a
+    bounded size; texts may be cut by batches anywhere."""
+    import pyarrow as pa
+    rng = random.Random(8)
+    texts, rows = {}, []
+    for k in (*range(7), None):
+        lattice = [[(w, -rng.random(), -rng.random()) for w in rng.sample("abcdef", rng.randrange(1, 4))] for _ in range(rng.randrange(1, 6))]
+        known = {(x, y): -rng.random() for x in ["<s>", *"abc"] for y in [*"abcdef", "</s>"]} if k is not None else {}
+        texts[k] = decode.beam_search(lattice, known | {(None, "</s>"): -2.0}, 3, 0.5)
+        rows += [(k, i, *map(list, zip(*c)), None, None, None) for i, c in enumerate(lattice)]
+        rows += [(k, None, None, None, None, c, n, lp) for (c, n), lp in known.items()]
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.string(), pa.string(), pa.float64()]
+    whole = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["k", "_i", "_w", "_p", "_u", "_c", "_n", "_l"])
+    for size in (1, 3, 50, 10_000):
+        found = list(decode._search("k", 3, 0.5, -2.0)(iter(whole.slice(a, size) for a in range(0, len(rows), size))))
+        got = [r for b in found for r in b.to_pylist()]
+        assert [(r["k"], r["rank"], r["translation"], r["score"]) for r in got] == [
+            (k, i + 1, *x) for k, xs in texts.items() for i, x in enumerate(xs)]
+
+
 def test_subwords_round_trip_and_second_library(spark):
     tiktoken = pytest.importorskip("tiktoken")
     import base64
