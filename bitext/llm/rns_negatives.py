@@ -230,11 +230,12 @@ def hard_negatives(vectors: DataFrame, every: int = 100, positives: int = POSITI
     blocks = materialize(_blocks(data, "block", n_rows, scale), "rns-blocks")
 
     def pairs(block_of: DataFrame) -> DataFrame:
-        """Each anchor block beside each row block."""
+        """Each anchor block beside each row block.  Spark reckons with one copy
+        of the anchors here, so that it may never choose to broadcast all of them."""
         names = [c for c in block_of.columns if c != "ablock"]
         sent = block_of.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))).alias("block"),
                                *(F.col(c).alias(f"a_{c}") for c in names))
-        return blocks.join(sent, "block")
+        return blocks.join(sent.hint("merge"), "block")
 
     found = pairs(_blocks(some, "ablock", n_anchors, scale)).mapInArrow(
         _tiles(0, _pick_positives(positives), pa.schema([(c, _LONG) for c in ("row", "anchor_id", "score", "id")])),

@@ -58,6 +58,18 @@ def test_negatives_equal_brute_force(spark):
     assert found(spark, rows, every=10) == brute(rows, 10)
 
 
+def test_copies_of_anchors_are_never_broadcast(spark):
+    """Each block of rows gets a copy of the anchors, which Spark's estimate of
+    their size does not count: gathered for a broadcast they fill the driver."""
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, .3) for _ in range(8)], i % 3) for i in range(120)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
+    out = rns.hard_negatives(df, every=4, rows=2, anchors=8)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [block" in plan and "BroadcastHashJoin [block" not in plan
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == brute(rows, 4)
+
+
 def test_no_rows_no_anchors(spark):
     assert found(spark, []) == []
     assert found(spark, [(1, [1.0], 0), (2, [1.0], 1)]) == []
